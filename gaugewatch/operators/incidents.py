@@ -24,15 +24,16 @@ def failed_since(log: DataFrame, incidents: DataFrame | None = None) -> DataFram
     failed = log.filter(F.col("status") == "failed")
     if incidents is None:
         return failed
-    watermark = incidents.agg(F.coalesce(F.max("update_ts"), ts_lit(NO_WATERMARK)).alias("_seen"))
-    return failed.join(F.broadcast(watermark), F.col("create_ts") > F.col("_seen")).drop("_seen")
+    return failed.filter(F.col("create_ts") > _watermark(incidents))
+
+
+def _watermark(incidents: DataFrame) -> Column:
+    return incidents.agg(F.coalesce(F.max("update_ts"), ts_lit(NO_WATERMARK)).alias("seen")).scalar()
 
 
 def late_rows(log: DataFrame, incidents: DataFrame) -> DataFrame:
     """Failed rows at or before the watermark that no incident covers: they are never merged."""
-    failed = log.filter(F.col("status") == "failed")
-    watermark = incidents.agg(F.coalesce(F.max("update_ts"), ts_lit(NO_WATERMARK)).alias("_seen"))
-    old = failed.join(F.broadcast(watermark), F.col("create_ts") <= F.col("_seen")).drop("_seen")
+    old = log.filter(F.col("status") == "failed").filter(F.col("create_ts") <= _watermark(incidents))
     covered = match_logs(incidents, old).select("log_run_id", *INCIDENT_KEYS, "window_start", "window_end")
     same = [old["run_id"] == covered["log_run_id"]]
     same += [old[name] == covered[name] for name in [*INCIDENT_KEYS, "window_start", "window_end"]]

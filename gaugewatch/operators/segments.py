@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from gaugewatch.session import stage
+
 DAY_SECONDS = 86400
 
 
@@ -24,10 +26,11 @@ def number_groups(
     """Number the chains of spans that touch, or lie at most ``gap_seconds`` apart, per key.
 
     A span joins the chain if it starts no later than the furthest end so far plus the gap,
-    so a span inside an earlier, longer one stays in the chain.
+    so a span inside an earlier, longer one stays in the chain. The spans are staged, as
+    they are read once per pass.
     """
     slices = [*keys, "_slice"]
-    cut = spans.withColumn("_slice", F.floor(F.unix_seconds(start) / slice_seconds))
+    cut = stage(spans.withColumn("_slice", F.floor(F.unix_seconds(start) / slice_seconds)))
     inside = Window.partitionBy(*slices).orderBy(start, end)
     earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
     earlier_slices = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
