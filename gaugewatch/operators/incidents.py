@@ -65,32 +65,38 @@ def group_failures(failed: DataFrame, gap_seconds: int = MERGE_GAP_SECONDS) -> D
 
 
 def merge_incidents(
-    log: DataFrame, incidents: DataFrame | None = None, gap_seconds: int = MERGE_GAP_SECONDS
+    log: DataFrame,
+    incidents: DataFrame | None = None,
+    gap_seconds: int = MERGE_GAP_SECONDS,
+    only_newer: bool = True,
 ) -> DataFrame:
     """The incident table after merging the log rows that came since its last update.
 
+    ``only_newer=False`` merges every failed row given, late ones too; a stream that hands
+    over each row once has no need of the watermark.
+
     New groups and stored incidents are chained together, so a group that bridges two
     stored incidents makes one of them. The oldest identifier and creation time stay; run
     identifiers come from whoever starts first and ends last, stored incidents winning ties.
     Stored incidents that no new group touches are returned as they were.
     """
-    groups = group_failures(failed_since(log, incidents), gap_seconds)
+    groups = group_failures(failed_since(log, incidents if only_newer else None), gap_seconds)
     if incidents is None:
         return groups
     both = (
         incidents.select(INCIDENT.fieldNames())
-        .withColumn("_new", F.lit(0))
-        .unionByName(groups.withColumn("_new", F.lit(1)))
+        .withColumn("_fresh", F.lit(0))
+        .unionByName(groups.withColumn("_fresh", F.lit(1)))
     )
     chained = number_groups(both, INCIDENT_KEYS, "incident_start", "incident_end", gap_seconds)
     # A chain without anything new keeps its members apart.
-    touched = chained.groupBy(*INCIDENT_KEYS, "incident_group").agg(F.max("_new").alias("_touched"))
+    touched = chained.groupBy(*INCIDENT_KEYS, "incident_group").agg(F.max("_fresh").alias("_touched"))
     chained = chained.join(touched, [*INCIDENT_KEYS, "incident_group"]).withColumn(
         "_own", F.when(F.col("_touched") == 0, F.col("incident_id"))
     )
-    oldest = F.struct("_new", "create_ts", "incident_start", "incident_id")
-    starts = F.struct("incident_start", "_new", "first_run_id")
-    ends = F.struct("incident_end", -F.col("_new"), "last_run_id")
+    oldest = F.struct("_fresh", "create_ts", "incident_start", "incident_id")
+    starts = F.struct("incident_start", "_fresh", "first_run_id")
+    ends = F.struct("incident_end", -F.col("_fresh"), "last_run_id")
     return (
         chained.groupBy(*INCIDENT_KEYS, "incident_group", "_own")
         .agg(
