@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from gaugewatch.functions.columns import half_open, local_text, percentiles, tag_key, ts_lit, window_phase
 from gaugewatch.operators.incidents import match_logs
 from gaugewatch.operators.segments import gap_totals
 from gaugewatch.schemas import TAG, TS, VALUE
+from gaugewatch.session import local_frame
 
 MAX_SAMPLE_POINTS = 200
+_REQUEST = T.StructType([T.StructField("position", T.IntegerType()), T.StructField("requested_tag", T.StringType())])
 
 
 def _window(long: DataFrame, tags: list[str], start: datetime, end: datetime) -> DataFrame:
@@ -170,7 +172,7 @@ def gap_profile(long: DataFrame, tags: list[str], start: datetime, end: datetime
 def _requests(long: DataFrame, requested: list[str]) -> DataFrame:
     """First requested spelling per key; as long as the argument list."""
     return (
-        long.sparkSession.createDataFrame(list(enumerate(requested)), "position int, requested_tag string")
+        local_frame(long.sparkSession, list(enumerate(requested)), _REQUEST)
         .withColumn("tag_key", tag_key(F.col("requested_tag")))
         .groupBy("tag_key")
         .agg(F.min_by("requested_tag", "position").alias("requested_tag"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gaugewatch.config import OutlierRule, RunGrid
 from gaugewatch.functions.columns import json_keep_nulls, percentiles
-from gaugewatch.operators.runs import at_minutes, tag_runs, window_extrema, with_run_columns
+from gaugewatch.operators.runs import at_minutes, of_tags, tag_runs, window_extrema, with_run_columns
 from gaugewatch.operators.trailing import fenced_history_percentiles, fences
 from gaugewatch.schemas import TAG, TS, VALUE
 from gaugewatch.session import stage
@@ -53,7 +53,7 @@ def single_history(
 
 def outlier(
     long: DataFrame,
-    tags: DataFrame,
+    tags: list[str],
     grid: RunGrid,
     rule: OutlierRule,
     station: str,
@@ -64,8 +64,8 @@ def outlier(
     levels: int = 1,
 ) -> DataFrame:
     """Judge every tag in every run window; ``accuracy`` matters for a single run only."""
-    runs = tag_runs(tags, grid)
-    watched = long.join(tags, TAG, "left_semi")
+    runs = tag_runs(long.sparkSession, tags, grid)
+    watched = of_tags(long, tags)
     history = timedelta(days=rule.history_days)
     if grid.count == 1:
         limits = single_history(watched, grid, rule.lookback_minutes, history, accuracy)

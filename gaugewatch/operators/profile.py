@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gaugewatch.config import GAP_MINUTES, HISTOGRAM_BINS
 from gaugewatch.functions.columns import closed, local_text, null_rate, percentiles, to_local, ts_lit
+from gaugewatch.operators.runs import of_tags, tag_frame
 from gaugewatch.operators.segments import gap_totals
 from gaugewatch.schemas import TAG, TS, VALUE
 from gaugewatch.session import stage
@@ -41,7 +42,7 @@ def _null_columns() -> list[Column]:
 
 
 def profile_stats(
-    readings: DataFrame, periods: dict[str, Period], tags: DataFrame | None = None, accuracy: int = 10000
+    readings: DataFrame, periods: dict[str, Period], tags: list[str] | None = None, accuracy: int = 10000
 ) -> DataFrame:
     """Per tag and period: counts, null rate, moments, extremes and five quantiles.
 
@@ -67,7 +68,7 @@ def profile_stats(
         )
     )
     if tags is not None:
-        expected = tags.select(TAG, F.explode(F.array(*[F.lit(name) for name in periods])).alias("period"))
+        expected = tag_frame(readings.sparkSession, tags).select(TAG, F.explode(F.array(*[F.lit(name) for name in periods])).alias("period"))
         stats = expected.join(stats, [TAG, "period"], "left").fillna(0, ["row_count", "non_null_count"])
     return stats.select(
         TAG,
@@ -194,10 +195,10 @@ def drift_long(stats: DataFrame) -> DataFrame:
 
 
 def tag_profile(
-    readings: DataFrame, tags: DataFrame, baseline: Period, recent: Period, accuracy: int = 10000
+    readings: DataFrame, tags: list[str], baseline: Period, recent: Period, accuracy: int = 10000
 ) -> dict[str, DataFrame]:
     """The profile data sets of the given tags, unevaluated."""
-    chosen = readings.join(tags, TAG, "left_semi")
+    chosen = of_tags(readings, tags)
     return {
         "stats": profile_stats(chosen, {"baseline": baseline, "recent": recent}, tags, accuracy),
         "histogram": adaptive_histogram(chosen, baseline),
@@ -212,7 +213,7 @@ def _rounded(*names: str) -> list[Column]:
 
 def tag_profile_report(
     readings: DataFrame,
-    tags: DataFrame,
+    tags: list[str],
     catalog: DataFrame,
     baseline: Period,
     recent: Period,
@@ -223,7 +224,7 @@ def tag_profile_report(
 
     ``report`` holds the same as JSON text. Reals are rounded to six digits.
     """
-    chosen = readings.join(tags, TAG, "left_semi")
+    chosen = of_tags(readings, tags)
     stats = stage(profile_stats(chosen, {"baseline": baseline, "recent": recent}, tags, accuracy))
     numbers = ["null_rate", "mean_value", "stddev_value", "min_value", "max_value", *STATS_PROBS]
     measures = F.struct("row_count", "non_null_count", "null_count", *_rounded(*numbers))
@@ -274,7 +275,8 @@ def tag_profile_report(
     )
     parts = ["tag", "windows", "stats", "percentile_shift", "density_distribution", "daily_trend", "gap_profile"]
     return (
-        tags.join(catalog.withColumnRenamed("name", TAG), TAG, "left")
+        tag_frame(readings.sparkSession, tags)
+        .join(catalog.withColumnRenamed("name", TAG), TAG, "left")
         .join(by_period, TAG, "left")
         .join(shift, TAG, "left")
         .join(bins, TAG, "left")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from math import gcd
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from gaugewatch.config import RunGrid
 from gaugewatch.functions.columns import blank_zero, run_id
 from gaugewatch.schemas import MONITOR_LOG, TAG, TS, VALUE
+from gaugewatch.session import local_frame
 
 
 def origin_seconds(grid: RunGrid) -> Column:
@@ -28,12 +29,17 @@ def cell_index(grid: RunGrid, cell_minutes: int, ts: Column | None = None) -> Co
 
 
 def tag_frame(spark: SparkSession, tags) -> DataFrame:
-    return spark.createDataFrame([(tag,) for tag in tags], f"{TAG} string")
+    return local_frame(spark, [(tag,) for tag in tags], T.StructType([T.StructField(TAG, T.StringType())]))
 
 
-def tag_runs(tags: DataFrame, grid: RunGrid) -> DataFrame:
+def of_tags(long: DataFrame, tags) -> DataFrame:
+    """Readings of the given tags; the condition reaches the scan."""
+    return long.filter(F.col(TAG).isin(list(tags)))
+
+
+def tag_runs(spark: SparkSession, tags, grid: RunGrid) -> DataFrame:
     """One row per tag and run, so that tags without readings are judged too."""
-    return tags.select(TAG, F.explode(F.sequence(F.lit(1), F.lit(grid.count))).alias("run_no"))
+    return tag_frame(spark, tags).select(TAG, F.explode(F.sequence(F.lit(1), F.lit(grid.count))).alias("run_no"))
 
 
 def window_extrema(

@@ -43,8 +43,9 @@ def number_groups(
     )
     reach = F.greatest(F.max(end).over(earlier), F.col("_carried_end"))
     gap = F.expr(f"INTERVAL {gap_seconds} SECONDS")
+    # Same keys as the windows, hence no further shuffle; left, so that no span gets lost.
     flagged = (
-        _same_slice(cut, carried, slices)
+        cut.join(carried, slices, "left")
         .withColumn("_reach", reach)
         .withColumn("_new", F.when(F.col("_reach") >= F.col(start) - gap, 0).otherwise(1))
     )
@@ -56,21 +57,12 @@ def number_groups(
     )
     running = F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0))
     return (
-        _same_slice(flagged, started, slices)
-        .withColumn(group, F.col("_before") + running)
+        flagged.join(started, slices, "left")
+        .withColumn(group, F.coalesce("_before", F.lit(0)) + running)
         .drop("_slice", "_carried_end", "_reach", "_new", "_before")
     )
 
 
-def _same_slice(left: DataFrame, right: DataFrame, slices: list[str]) -> DataFrame:
-    """Join on null-safe slice keys, keeping the left columns."""
-    right = right.select(*[F.col(c).alias(f"_r_{c}") if c in slices else F.col(c) for c in right.columns])
-    same = F.lit(True)
-    for name in slices:
-        same = same & F.col(name).eqNullSafe(F.col(f"_r_{name}"))
-    return left.join(right, same).drop(*[f"_r_{name}" for name in slices])
-
-
 def gap_totals(
     points: DataFrame,
     keys: list[str],

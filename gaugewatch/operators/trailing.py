@@ -4,10 +4,11 @@ A reading lies in thousands of overlapping histories (90 days, one run per hour)
 pairing readings with runs is out of the question. Instead each tag's values are cut into
 ``fanout`` buckets of about equal size, and the readings become counts per bucket and time
 cell. The counts slide along the runs as running sums of what enters and what leaves, which
-tells the bucket that holds a wanted rank in each run. Only the readings of that one bucket
-are then looked at, a ``1/fanout`` part of the history; with ``levels`` > 1 the chosen
-buckets are cut again first. Every answer is an actual reading with the exact rank; the
-cuts only steer the amount of work.
+tells the bucket that holds a wanted rank in each run. Only the readings of the chosen
+buckets are shuffled, copies of a value in a time cell folded into one row, and paired with
+the runs that chose them: a ``1/fanout`` part of the history per run. With ``levels`` > 1 the
+chosen buckets are cut again first. Every answer is an actual reading with the exact rank;
+the cuts only steer the amount of work.
 """
 
 from __future__ import annotations
@@ -50,19 +51,16 @@ class History:
         """First run whose history has left the cell behind."""
         return (F.floor((cell + self.lookback + self.span) / self.step) + 1).cast("int")
 
-    def weighted_readings(self, long: DataFrame) -> DataFrame:
-        """Distinct values per tag and cell with their counts; a repeated value is one row."""
+    def readings(self, long: DataFrame) -> DataFrame:
+        """Readings that any history holds, with their time cells."""
         start = self.cell_minutes * (self.step - self.lookback - self.span)
         end = self.cell_minutes * (self.step * self.grid.count - self.lookback)
-        return (
-            long.filter(
-                (F.col(TS) >= at_minutes(self.grid, start))
-                & (F.col(TS) < at_minutes(self.grid, end))
-                & F.col(VALUE).isNotNull()
-            )
-            .groupBy(TAG, cell_index(self.grid, self.cell_minutes).alias("cell"), VALUE)
-            .agg(F.count(F.lit(1)).alias("n"))
-            .withColumn("node", F.lit(0).cast("long"))
+        return long.filter(
+            (F.col(TS) >= at_minutes(self.grid, start))
+            & (F.col(TS) < at_minutes(self.grid, end))
+            & F.col(VALUE).isNotNull()
+        ).select(
+            TAG, VALUE, cell_index(self.grid, self.cell_minutes).alias("cell"), F.lit(0).cast("long").alias("node")
         )
 
 
@@ -76,10 +74,7 @@ class BucketLevel:
         self.readings = stage(
             readings.join(self.cuts, [TAG, "node"])
             .withColumn("bucket", self.bucket_of(F.col(VALUE)))
-            .drop("cuts"),
-            TAG,
-            "node",
-            "bucket",
+            .drop("cuts")
         )
         self.counts = stage(self._slide(wanted_runs, history))
 
@@ -93,7 +88,7 @@ class BucketLevel:
         )
 
     def _slide(self, wanted_runs: DataFrame, history: History) -> DataFrame:
-        per_cell = self.readings.groupBy(TAG, "node", "bucket", "cell").agg(F.sum("n").alias("n"))
+        per_cell = self.readings.groupBy(TAG, "node", "bucket", "cell").agg(F.count(F.lit(1)).alias("n"))
         enter = F.struct(
             F.greatest(history.first_run(F.col("cell")), F.lit(1)).alias("run_no"), F.col("n").alias("change")
         )
@@ -161,8 +156,14 @@ def _descend(top: BucketLevel, requests: DataFrame, history: History, levels: in
 
 
 def _in_history(readings: DataFrame, requests: DataFrame, history: History) -> DataFrame:
+    """Values of the requests' buckets that lie in their histories, with how often they occur."""
+    folded = (
+        readings.join(requests.select(TAG, "node").distinct(), [TAG, "node"], "left_semi")
+        .groupBy(TAG, "node", "cell", VALUE)
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
     inside = (F.col("cell") >= history.start(F.col("run_no"))) & (F.col("cell") < history.end(F.col("run_no")))
-    return readings.join(requests, [TAG, "node"]).filter(inside)
+    return folded.join(requests, [TAG, "node"]).filter(inside)
 
 
 def _values_at(top: BucketLevel, requests: DataFrame, history: History, levels: int) -> DataFrame:
@@ -248,7 +249,7 @@ def fenced_history_percentiles(
         raise ValueError("fanout must be a power of two")
     span = History(grid, lookback_minutes, int(history / timedelta(minutes=1)))
     wanted = tag_run_grid.select(TAG, "run_no", F.lit(0).cast("long").alias("node"))
-    top = BucketLevel(span.weighted_readings(long), wanted, span, fanout)
+    top = BucketLevel(span.readings(long), wanted, span, fanout)
 
     totals = top.counts.filter((F.col("bucket") == fanout - 1) & (F.col("upto") > 0)).select(
         TAG, "run_no", F.col("upto").alias("history_count")

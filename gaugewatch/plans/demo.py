@@ -14,7 +14,7 @@ from gaugewatch.functions.noise import add_noise, add_noise_keyed
 from gaugewatch.operators import evidence, incidents as inc, profile, report, reshape
 from gaugewatch.operators.freshness import freshness
 from gaugewatch.operators.outlier import fenced_percentiles, iqr_fences, outlier
-from gaugewatch.operators.runs import tag_frame, tag_runs, window_extrema
+from gaugewatch.operators.runs import tag_runs, window_extrema
 from gaugewatch.operators.stuck import stuck_value
 from gaugewatch.operators.trailing import fenced_history_percentiles
 from gaugewatch.plans.monitoring import monitor_history
@@ -74,10 +74,6 @@ def shown(df: DataFrame, digits: int = 8) -> DataFrame:
     return df.select(*columns)
 
 
-def _tags(spark: SparkSession) -> DataFrame:
-    return tag_frame(spark, EVENT_TAGS)
-
-
 # ---- the stored tables the incident views read: made once per session and data set -------------
 
 _stored: dict[tuple[str, str, str], DataFrame] = {}
@@ -92,9 +88,8 @@ def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFr
 
 def build_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly backfill of both rules over the whole history."""
-    tags = _tags(spark)
     return monitor_history(
-        events_long(spark, sf_dir), tags, tags, GRID, STUCK, OUTLIER, STATION, SOURCE, fanout=FANOUT
+        events_long(spark, sf_dir), EVENT_TAGS, EVENT_TAGS, GRID, STUCK, OUTLIER, STATION, SOURCE, fanout=FANOUT
     )
 
 
@@ -210,19 +205,19 @@ _RUN = ["run_id", TAG, "window_start", "window_end", "status"]
 
 
 def q_stuck_value_hourly(spark, sf_dir):
-    judged = stuck_value(events_long(spark, sf_dir), _tags(spark), GRID, STUCK, STATION, SOURCE)
+    judged = stuck_value(events_long(spark, sf_dir), EVENT_TAGS, GRID, STUCK, STATION, SOURCE)
     return shown(judged.select(*_RUN, "valid_count", "min_value", "max_value", "range_value"))
 
 
 def q_stuck_value_overlapping(spark, sf_dir):
-    judged = stuck_value(events_long(spark, sf_dir), _tags(spark), GRID, STUCK_LONG, STATION, SOURCE)
+    judged = stuck_value(events_long(spark, sf_dir), EVENT_TAGS, GRID, STUCK_LONG, STATION, SOURCE)
     return shown(judged.select(*_RUN, "valid_count", "min_value", "max_value", "range_value"))
 
 
 def q_stuck_value_single(spark, sf_dir):
     grid = RunGrid.single(RUN_AT)
     judged = stuck_value(
-        events_long(spark, sf_dir), tag_frame(spark, [*EVENT_TAGS, "absent"]), grid, STUCK_LONG, STATION, SOURCE
+        events_long(spark, sf_dir), [*EVENT_TAGS, "absent"], grid, STUCK_LONG, STATION, SOURCE
     )
     return shown(judged.select(*_RUN, "valid_count", "min_value", "max_value", "range_value", "create_ts"))
 
@@ -242,7 +237,7 @@ def q_fenced_p1_p99(spark, sf_dir):
 
 
 def q_trailing_percentiles(spark, sf_dir):
-    tags = tag_runs(_tags(spark), GRID)
+    tags = tag_runs(spark, EVENT_TAGS, GRID)
     return shown(
         fenced_history_percentiles(
             events_long(spark, sf_dir), tags, GRID, OUTLIER.lookback_minutes, timedelta(days=14), FANOUT
@@ -254,13 +249,13 @@ _LIMITS = ["recent_min", "recent_max", "history_p1", "history_p99", "lower_thres
 
 
 def q_outlier_hourly(spark, sf_dir):
-    judged = outlier(events_long(spark, sf_dir), _tags(spark), GRID, OUTLIER, STATION, SOURCE, fanout=FANOUT)
+    judged = outlier(events_long(spark, sf_dir), EVENT_TAGS, GRID, OUTLIER, STATION, SOURCE, fanout=FANOUT)
     return shown(judged.select(*_RUN, *_LIMITS))
 
 
 def q_outlier_single(spark, sf_dir):
     judged = outlier(
-        events_long(spark, sf_dir), tag_frame(spark, [*EVENT_TAGS, "absent"]), RunGrid.single(RUN_AT),
+        events_long(spark, sf_dir), [*EVENT_TAGS, "absent"], RunGrid.single(RUN_AT),
         OutlierRule(30, 14, 1.5), STATION, SOURCE, accuracy=EXACT,
     )
     return shown(judged.select(*_RUN, *_LIMITS, "create_ts"))
@@ -355,12 +350,12 @@ def _event_readings(spark, sf_dir):
 
 def q_profile_stats(spark, sf_dir):
     readings = _lineitem_readings(spark, sf_dir)
-    tags = tag_frame(spark, [*LINEITEM_TAGS, "absent"])
+    tags = [*LINEITEM_TAGS, "absent"]
     return shown(profile.profile_stats(readings, LINEITEM_PERIODS, tags, EXACT), 7)
 
 
 def q_profile_stats_with_nulls(spark, sf_dir):
-    return shown(profile.profile_stats(_event_readings(spark, sf_dir), EVENT_PERIODS, _tags(spark), EXACT))
+    return shown(profile.profile_stats(_event_readings(spark, sf_dir), EVENT_PERIODS, EVENT_TAGS, EXACT))
 
 
 def _trend(spark, sf_dir):
@@ -376,12 +371,12 @@ def q_gap_stats(spark, sf_dir):
 
 
 def q_percentile_shift(spark, sf_dir):
-    stats = profile.profile_stats(_event_readings(spark, sf_dir), EVENT_PERIODS, _tags(spark), EXACT)
+    stats = profile.profile_stats(_event_readings(spark, sf_dir), EVENT_PERIODS, EVENT_TAGS, EXACT)
     return shown(profile.percentile_shift(stats))
 
 
 def q_drift_long(spark, sf_dir):
-    stats = profile.profile_stats(_event_readings(spark, sf_dir), EVENT_PERIODS, _tags(spark), EXACT)
+    stats = profile.profile_stats(_event_readings(spark, sf_dir), EVENT_PERIODS, EVENT_TAGS, EXACT)
     return shown(profile.drift_long(stats))
 
 
@@ -439,7 +434,7 @@ def q_density_summary(spark, sf_dir):
 def q_tag_profile(spark, sf_dir):
     """Rows of each data set of the profile."""
     parts = profile.tag_profile(
-        _event_readings(spark, sf_dir), _tags(spark), EVENT_PERIODS["baseline"], EVENT_PERIODS["recent"]
+        _event_readings(spark, sf_dir), EVENT_TAGS, EVENT_PERIODS["baseline"], EVENT_PERIODS["recent"]
     )
     sizes = [df.groupBy().agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("part"), "row_count")
              for name, df in parts.items()]
@@ -448,7 +443,7 @@ def q_tag_profile(spark, sf_dir):
 
 def _profile_report(spark, sf_dir):
     return profile.tag_profile_report(
-        _event_readings(spark, sf_dir), _tags(spark), reshape.catalog_frame(spark, EVENT_TAGS),
+        _event_readings(spark, sf_dir), EVENT_TAGS, reshape.catalog_frame(spark, EVENT_TAGS),
         EVENT_PERIODS["baseline"], EVENT_PERIODS["recent"], EXACT, profile.fixed_histogram,
     )
 

@@ -11,17 +11,16 @@ from gaugewatch.operators.freshness import freshness
 from gaugewatch.operators.incidents import merge_incidents
 from gaugewatch.operators.outlier import outlier
 from gaugewatch.operators.reshape import resolve_tags, wide_to_long
-from gaugewatch.operators.runs import tag_frame, to_log, window_extrema
+from gaugewatch.operators.runs import of_tags, to_log, window_extrema
 from gaugewatch.operators.stuck import stuck_value
-from gaugewatch.schemas import TAG
 from gaugewatch.session import stage
 from gaugewatch.sources.tables import IncidentStore, append_log, ensure_log_table
 
 
 def monitor_history(
     long: DataFrame,
-    stuck_tags: DataFrame,
-    outlier_tags: DataFrame,
+    stuck_tags: list[str],
+    outlier_tags: list[str],
     grid: RunGrid,
     stuck_rule: StuckValueRule,
     outlier_rule: OutlierRule,
@@ -35,7 +34,7 @@ def monitor_history(
     """
     extrema = None
     if stuck_rule.lookback_minutes == outlier_rule.lookback_minutes:
-        watched = long.join(stuck_tags.union(outlier_tags).distinct(), TAG, "left_semi")
+        watched = of_tags(long, dict.fromkeys([*stuck_tags, *outlier_tags]))
         extrema = stage(window_extrema(watched, grid, stuck_rule.lookback_minutes, stuck_rule.zero_filtered_tags))
     stuck = stuck_value(long, stuck_tags, grid, stuck_rule, station, source_table, extrema)
     wild = outlier(long, outlier_tags, grid, outlier_rule, station, source_table, extrema, **outlier_options)
@@ -57,8 +56,8 @@ def run_backfill(spark: SparkSession, settings: Settings, **outlier_options) ->
     long = wide_to_long(wide, list(dict.fromkeys(outlier_tags + stuck_tags)))
     log = monitor_history(
         long,
-        tag_frame(spark, stuck_tags),
-        tag_frame(spark, outlier_tags),
+        stuck_tags,
+        outlier_tags,
         grid,
         hourly(rule_config(settings.station, "stuck_value")),
         hourly(rule_config(settings.station, "outlier")),
@@ -78,7 +77,7 @@ def run_single(spark: SparkSession, settings: Settings, rule_type: str, run_dt:
     wide, tags = _monitored(spark, settings, rule_type)
     judge = {"stuck_value": stuck_value, "outlier": outlier}[rule_type]
     judged = judge(
-        wide_to_long(wide, tags), tag_frame(spark, tags), grid, rule, settings.station, settings.quality_source_table
+        wide_to_long(wide, tags), tags, grid, rule, settings.station, settings.quality_source_table
     )
     append_log(judged, settings.monitor_log_table)
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def build_session(app_name: str = "gaugewatch", master: str | None = None, **conf: str) -> SparkSession:
@@ -31,6 +34,13 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def local_frame(spark: SparkSession, rows: list[tuple], schema: StructType) -> DataFrame:
+    """A few driver-side rows as a relation whose size the optimizer knows."""
+    columns = list(zip(*rows)) or [()] * len(schema)
+    arrow = to_arrow_schema(schema)
+    return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow), schema)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
@@ -47,7 +57,7 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder
 
 
-def stage(df: DataFrame, *sort_cols: str) -> DataFrame:
+def stage(df: DataFrame) -> DataFrame:
     """Write an intermediate result to the shared folder and read it back.
 
     Cuts the lineage, survives lost executors, and tells the optimizer the true size,
@@ -55,7 +65,5 @@ def stage(df: DataFrame, *sort_cols: str) -> DataFrame:
     ``spark.sql.autoBroadcastJoinThreshold`` and a large one is not.
     """
     path = f"{scratch_dir(df.sparkSession)}/gaugewatch-{uuid.uuid4().hex}"
-    if sort_cols:
-        df = df.sortWithinPartitions(*sort_cols)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
