@@ -168,13 +168,24 @@ def _phases(t: EvidenceTables) -> str:
 
 
 def _gaps(t: EvidenceTables) -> str:
-    steps = (
-        f"SELECT {TAG}, {TS}, {VALUE}, unix_timestamp({TS}) - unix_timestamp(lag({TS}) OVER "
-        f"(PARTITION BY {TAG} ORDER BY {TS})) AS gap FROM ({_points(t.long)})"
+    # Seconds first, then gaps within a day, then from day to day: no window over a whole tag.
+    seconds = (
+        f"SELECT {TAG}, unix_seconds({TS}) AS s, count(*) AS n, count({VALUE}) AS filled, min({TS}) AS first_ts, "
+        f"max({TS}) AS last_ts FROM ({_points(t.long)}) GROUP BY 1, 2"
     )
+    within = f"SELECT *, s - lag(s) OVER (PARTITION BY {TAG}, s DIV 86400 ORDER BY s) AS gap FROM ({seconds})"
+    days = (
+        f"SELECT {TAG}, s DIV 86400 AS day, sum(n) AS n, sum(filled) AS filled, min(first_ts) AS first_ts, "
+        f"max(last_ts) AS last_ts, min(s) AS first_s, max(s) AS last_s, sum(gap) AS gap_sum, "
+        f"max(greatest(gap, if(n > 1, 0, NULL))) AS gap_max, count_if(gap > 300) AS over_5m, "
+        f"count_if(gap > 900) AS over_15m FROM ({within}) GROUP BY 1, 2"
+    )
+    steps = f"SELECT *, first_s - lag(last_s) OVER (PARTITION BY {TAG} ORDER BY day) AS step FROM ({days})"
     stats = (
-        f"SELECT {TAG}, count({VALUE}) AS points, min({TS}) AS first_ts, max({TS}) AS last_ts, max(gap) AS longest, "
-        f"avg(gap) AS mean, count_if(gap > 300) AS over_5m, count_if(gap > 900) AS over_15m "
+        f"SELECT {TAG}, sum(filled) AS points, min(first_ts) AS first_ts, max(last_ts) AS last_ts, "
+        f"max(greatest(gap_max, step)) AS longest, "
+        f"try_divide(coalesce(sum(gap_sum), 0) + coalesce(sum(step), 0), sum(n) - 1) AS mean, "
+        f"sum(over_5m) + count_if(step > 300) AS over_5m, sum(over_15m) + count_if(step > 900) AS over_15m "
         f"FROM ({steps}) GROUP BY {TAG}"
     )
     return _answer(

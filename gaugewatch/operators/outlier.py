@@ -61,7 +61,7 @@ def outlier(
     extrema: DataFrame | None = None,
     accuracy: int = 10000,
     fanout: int = 256,
-    levels: int = 1,
+    levels: int | None = None,
 ) -> DataFrame:
     """Judge every tag in every run window; ``accuracy`` matters for a single run only."""
     runs = tag_runs(long.sparkSession, tags, grid)

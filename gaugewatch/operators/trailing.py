@@ -6,9 +6,9 @@ pairing readings with runs is out of the question. Instead each tag's values are
 cell. The counts slide along the runs as running sums of what enters and what leaves, which
 tells the bucket that holds a wanted rank in each run. Only the readings of the chosen
 buckets are shuffled, copies of a value in a time cell folded into one row, and paired with
-the runs that chose them: a ``1/fanout`` part of the history per run. With ``levels`` > 1 the
-chosen buckets are cut again first. Every answer is an actual reading with the exact rank;
-the cuts only steer the amount of work.
+the runs that chose them: a ``1/fanout`` part of the history per run. Long histories are
+narrowed over several levels, the chosen buckets being cut again each time. Every answer is
+an actual reading with the exact rank; the cuts only steer the amount of work.
 """
 
 from __future__ import annotations
@@ -26,6 +26,9 @@ from gaugewatch.session import stage
 
 IQR_FENCE = 1.5
 
+# A further level pays once the pairs of readings and runs outnumber its own counts this often.
+PAIRS_PER_COUNT = 4
+
 
 class History:
     """Cell arithmetic of ``[window start - history, window start)`` along a run grid."""
@@ -155,6 +158,25 @@ def _descend(top: BucketLevel, requests: DataFrame, history: History, levels: in
     return level.children(), requests
 
 
+def _levels_needed(top: BucketLevel) -> int:
+    """Enough that the pairs to look at stay in proportion to the readings themselves.
+
+    Takes two totals: the sizes of all histories, and the readings (from file footers).
+    """
+    histories, runs = (
+        top.counts.filter(F.col("bucket") == top.fanout - 1)
+        .agg(F.coalesce(F.sum("upto"), F.lit(0)), F.count(F.lit(1)))
+        .first()
+    )
+    ranks_per_run = 2
+    counts_per_level = runs * ranks_per_run * top.fanout
+    affordable = max(top.readings.count(), PAIRS_PER_COUNT * counts_per_level)
+    levels = 1
+    while ranks_per_run * histories > affordable * top.fanout**levels:
+        levels += 1
+    return levels
+
+
 def _in_history(readings: DataFrame, requests: DataFrame, history: History) -> DataFrame:
     """Values of the requests' buckets that lie in their histories, with how often they occur."""
     folded = (
@@ -237,19 +259,20 @@ def fenced_history_percentiles(
     lookback_minutes: int,
     history: timedelta,
     fanout: int = 256,
-    levels: int = 1,
+    levels: int | None = None,
 ) -> DataFrame:
     """Quartiles, fences and fenced p1 / p99 of each run's trailing history.
 
     Output: tag_name, run_no, history_count, history_q1, history_q3, lower_fence,
     upper_fence, history_p1, history_p99; no row where the history is empty.
-    ``fanout`` must be a power of two.
+    ``fanout`` must be a power of two; ``levels`` follows from the data unless given.
     """
     if fanout & (fanout - 1) or fanout < 2:
         raise ValueError("fanout must be a power of two")
     span = History(grid, lookback_minutes, int(history / timedelta(minutes=1)))
     wanted = tag_run_grid.select(TAG, "run_no", F.lit(0).cast("long").alias("node"))
     top = BucketLevel(span.readings(long), wanted, span, fanout)
+    levels = levels or _levels_needed(top)
 
     totals = top.counts.filter((F.col("bucket") == fanout - 1) & (F.col("upto") > 0)).select(
         TAG, "run_no", F.col("upto").alias("history_count")
@@ -263,7 +286,7 @@ def fenced_history_percentiles(
     )
 
     edges = _requests(bounds, under=("bound", F.col("lower_fence")), upto=("bound", F.col("upper_fence")))
-    inside = stage(_spread(_count_below(top, edges, span, levels), "n", "under", "upto"))
+    inside = _spread(_count_below(top, edges, span, levels), "n", "under", "upto")
     kept = F.col("upto") - F.col("under")
     tail_ranks = _requests(
         inside.filter(kept > 0),

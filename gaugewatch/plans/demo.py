@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from gaugewatch.config import FreshnessRule, OutlierRule, RunGrid, StuckValueRule
-from gaugewatch.functions.columns import half_open, json_keep_nulls, local_text, tick, to_local
+from gaugewatch.functions.columns import local_text, tick, to_local
 from gaugewatch.functions.evidence_sql import EvidenceTables, register_functions
 from gaugewatch.functions.noise import add_noise, add_noise_keyed
 from gaugewatch.operators import evidence, incidents as inc, profile, report, reshape
@@ -18,10 +18,10 @@ from gaugewatch.operators.runs import tag_runs, window_extrema
 from gaugewatch.operators.stuck import stuck_value
 from gaugewatch.operators.trailing import fenced_history_percentiles
 from gaugewatch.plans.monitoring import monitor_history
-from gaugewatch.schemas import INCIDENT_KEYS, MONITOR_LOG, TAG, THRESHOLD_FIELDS, TS, VALUE
+from gaugewatch.schemas import MONITOR_LOG, TAG, THRESHOLD_FIELDS, TS, VALUE
 from gaugewatch.session import scratch_dir, stage
 from gaugewatch.sources.readings import map_fields
-from gaugewatch.sources.tables import lay_out_long
+from gaugewatch.sources.tables import incident_history, lay_out_long
 from gaugewatch.sources.testdata import (
     EVENT_TAGS,
     EVENTS_END,
@@ -150,6 +150,10 @@ def q_tag_history(spark, sf_dir):
     )
 
 
+def q_incident_history(spark, sf_dir):
+    return shown(incident_history(events_wide(spark, sf_dir), "click", datetime(2024, 1, 10), datetime(2024, 1, 14)))
+
+
 def q_comparison_long(spark, sf_dir):
     return shown(reshape.comparison_long(events_wide(spark, sf_dir), EVENT_TAGS[1:], known=EVENT_TAGS))
 
@@ -277,6 +281,15 @@ def q_monitoring_backfill(spark, sf_dir):
     return shown(inc.merge_incidents(stage(build_log(spark, sf_dir))))
 
 
+def q_observed_values(spark, sf_dir):
+    """What the log's JSON says, read back field by field."""
+    read = lambda name, kind: F.get_json_object("observed_value", f"$.{name}").cast(kind).alias(name)
+    fields = [read("valid_count", "long"), *[read(n, "double") for n in ("min_value", "max_value", "range")]]
+    log = monitor_log(spark, sf_dir)
+    return shown(log.select("run_id", TAG, "rule_type", *fields, *[read(n, "double") for n in THRESHOLD_FIELDS])
+                 .withColumn("valid_count", F.col("valid_count").cast("double")))
+
+
 def q_monitor_log(spark, sf_dir):
     return shown(monitor_log(spark, sf_dir).drop("observed_value"))
 

@@ -78,11 +78,12 @@ _LOG = f"""{_LONG}, {_grid(60)}, {_stuck("stuck", 60, 3, 40.0, _ZERO)}, {_histor
 log AS (
   SELECT {_RUN_ID.format(ts="window_end")} AS run_id, 'demo station' AS station, 'events' AS source_table, tag_name,
     'stuck_value' AS rule_type, window_start, window_end, status, window_end AS create_ts,
+    valid_count, min_value, max_value, range_value,
     NULL::DOUBLE AS recent_min, NULL::DOUBLE AS recent_max, NULL::DOUBLE AS history_p1, NULL::DOUBLE AS history_p99,
     NULL::DOUBLE AS lower_threshold, NULL::DOUBLE AS upper_threshold FROM stuck
   UNION ALL
   SELECT {_RUN_ID.format(ts="window_end")}, 'demo station', 'events', tag_name,
-    'outlier', window_start, window_end, status, window_end, {_LIMITS} FROM wild)"""
+    'outlier', window_start, window_end, status, window_end, NULL, NULL, NULL, NULL, {_LIMITS} FROM wild)"""
 _LOG_COLUMNS = "run_id, station, source_table, tag_name, rule_type, window_start, window_end, status, create_ts"
 
 
@@ -231,6 +232,7 @@ ORACLES: dict[str, str] = {
     "tag_summary": f"WITH {_LONG} SELECT tag_name, count(*) AS row_count, min(Pi_Timestamp) AS min_ts, max(Pi_Timestamp) AS max_ts FROM long WHERE {_WORN} GROUP BY tag_name",
     "history_slice": "SELECT l_shipdate AS Pi_Timestamp, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1996-07-01'",
     "tag_history": "SELECT l_shipdate AS Pi_Timestamp, l_quantity, l_tax FROM lineitem WHERE l_shipdate BETWEEN TIMESTAMP '1997-03-01' AND TIMESTAMP '1997-04-01' ORDER BY 1",
+    "incident_history": f"WITH {_WIDE} SELECT Pi_Timestamp, click FROM wide WHERE Pi_Timestamp BETWEEN TIMESTAMP '2024-01-09 23:00:00' AND TIMESTAMP '2024-01-14 01:00:00'",
     "comparison_long": f"WITH {_EVENT_READINGS} SELECT Pi_Timestamp, tag_name AS tag, replace(tag_name, '_', ' ') AS display_name, tag_value AS value FROM readings WHERE tag_name <> 'click'",
     "comparison_xy": "SELECT l_shipdate AS Pi_Timestamp, l_quantity, l_extendedprice, l_discount FROM lineitem",
     "layout_long_table": f"WITH {_LONG} SELECT tag_name, count(*) AS rows, count(DISTINCT Pi_Timestamp) AS times FROM long GROUP BY tag_name",
@@ -251,6 +253,7 @@ ORACLES: dict[str, str] = {
     "outlier_single": f"WITH {_LONG}, {_single_grid(30)}, {_history(14)}, {_judged('wild')} SELECT {_SINGLE_RUN}, tag_name, window_start, window_end, status, recent_min, recent_max, history_p1, history_p99, round(lower_threshold, 8) AS lower_threshold, round(upper_threshold, 8) AS upper_threshold, TIMESTAMP '{RUN_AT}' AS create_ts FROM wild",
     "freshness": " UNION ALL ".join([_freshness("events", "true"), _freshness("errors", "event_type = 'error'"), _freshness("empty", "event_type = 'absent'")]),
     "monitoring_backfill": f"WITH {_INCIDENTS} SELECT * FROM incident",
+    "observed_values": f"WITH {_LOG} SELECT run_id, tag_name, rule_type, valid_count::DOUBLE AS valid_count, min_value, max_value, round(range_value, 8) AS range, recent_min, recent_max, history_p1, history_p99, round(lower_threshold, 8) AS lower_threshold, round(upper_threshold, 8) AS upper_threshold FROM log",
     "monitor_log": f"WITH {_LOG} SELECT {_LOG_COLUMNS} FROM log",
     "incident_groups": f"WITH {_LOG}, {_incidents(3 * 3600)} SELECT * FROM ranges",
     "incident_merge": f"WITH {_INCIDENTS} SELECT * FROM incident",

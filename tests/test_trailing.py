@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from gaugewatch.config import OutlierRule, RunGrid
+from gaugewatch.operators import trailing
 from gaugewatch.operators.outlier import outlier
 from gaugewatch.operators.runs import tag_runs
 from gaugewatch.operators.trailing import fenced_history_percentiles
@@ -74,6 +75,19 @@ def test_matches_brute_force(spark, long_frame, fanout, levels, step, lookback,
     assert got == brute(rows, grid, lookback, history)
 
 
+def test_levels_follow_from_the_data(spark, long_frame, monkeypatch):
+    monkeypatch.setattr(trailing, "PAIRS_PER_COUNT", 0)
+    chosen = []
+    needed = trailing._levels_needed
+    monkeypatch.setattr(trailing, "_levels_needed", lambda top: chosen.append(needed(top)) or chosen[-1])
+    rows = readings(77)
+    grid = RunGrid(START, 48, 15)
+    assert found(spark, long_frame(rows), ["hot", "cold"], grid, 15, 600, fanout=4) == {
+        key: value for key, value in brute(rows, grid, 15, 600).items() if key[0] != "single"
+    }
+    assert chosen == [3]
+
+
 def test_fanout_must_be_a_power_of_two(spark, long_frame):
     grid = RunGrid(START, 1)
     with pytest.raises(ValueError):
