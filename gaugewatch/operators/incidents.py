@@ -76,8 +76,9 @@ def merge_incidents(
     over each row once has no need of the watermark.
 
     New groups and stored incidents are chained together, so a group that bridges two
-    stored incidents makes one of them. The oldest identifier and creation time stay; run
-    identifiers come from whoever starts first and ends last, stored incidents winning ties.
+    stored incidents makes one of them. A stored identifier stays, that of the oldest if
+    there are several, and so does the earliest creation time; run identifiers come from
+    whoever starts first and ends last, stored incidents winning ties.
     Stored incidents that no new group touches are returned as they were.
     """
     groups = group_failures(failed_since(log, incidents if only_newer else None), gap_seconds)
@@ -105,7 +106,7 @@ def merge_incidents(
             F.max("incident_end").alias("incident_end"),
             F.min_by("first_run_id", starts).alias("first_run_id"),
             F.max_by("last_run_id", ends).alias("last_run_id"),
-            F.min_by("create_ts", oldest).alias("create_ts"),
+            F.min("create_ts").alias("create_ts"),
             F.max("update_ts").alias("update_ts"),
         )
         .select(INCIDENT.fieldNames())

@@ -242,7 +242,7 @@ def test_stream_merge_equals_batch(spark, settings, tmp_path):
         .option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    keep = [c for c in INCIDENT.fieldNames() if c not in ("incident_id", "create_ts")]
+    keep = [c for c in INCIDENT.fieldNames() if c != "incident_id"]
     assert sorted(store.read().select(keep).collect()) == sorted(inc.merge_incidents(log).select(keep).collect())
     assert store.read().count() > 1
 
