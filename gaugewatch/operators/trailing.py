@@ -73,7 +73,9 @@ class BucketLevel:
     def __init__(self, readings: DataFrame, wanted_runs: DataFrame, history: History, fanout: int):
         self.fanout = fanout
         shares = [i / fanout for i in range(1, fanout)]
-        self.cuts = stage(readings.groupBy(TAG, "node").agg(percentiles(F.col(VALUE), shares, 10000).alias("cuts")))
+        # Rough cuts will do, and keep the partial sketches of a large tag small.
+        cuts = percentiles(F.col(VALUE), shares, 16 * fanout)
+        self.cuts = stage(readings.groupBy(TAG, "node").agg(cuts.alias("cuts")))
         self.readings = stage(
             readings.join(self.cuts, [TAG, "node"])
             .withColumn("bucket", self.bucket_of(F.col(VALUE)))
@@ -189,13 +191,14 @@ def _in_history(readings: DataFrame, requests: DataFrame, history: History) -> D
 
 
 def _values_at(top: BucketLevel, requests: DataFrame, history: History, levels: int) -> DataFrame:
-    """(tag, run_no, target, value): the reading at each wanted rank."""
+    """(tag, run_no, target, value): the reading at each wanted rank.
+
+    Equal values may come from several cells; whichever row crosses the rank has the value.
+    """
     readings, requests = _descend(top, requests, history, levels)
     by_value = Window.partitionBy(TAG, "run_no", "target").orderBy(VALUE).rowsBetween(Window.unboundedPreceding, 0)
     return (
         _in_history(readings, requests, history)
-        .groupBy(TAG, "run_no", "target", "rank", VALUE)
-        .agg(F.sum("n").alias("n"))
         .withColumn("upto", F.sum("n").over(by_value))
         .filter((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("n")))
         .select(TAG, "run_no", "target", F.col(VALUE).alias("value"))
