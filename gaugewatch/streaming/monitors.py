@@ -7,7 +7,7 @@ over the same rows agree.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -93,9 +93,17 @@ class StagedIncidents:
         self.current = stage(incidents)
 
 
+def _utc_now() -> datetime:
+    return datetime.now(UTC).replace(tzinfo=None)
+
+
 def freshness_stream(
-    table: DataFrame, rule: FreshnessRule, station: str, source_table: str, log_table: str,
-    clock: Callable[[], datetime] = datetime.utcnow,
+    table: DataFrame,
+    rule: FreshnessRule,
+    station: str,
+    source_table: str,
+    log_table: str,
+    clock: Callable[[], datetime] = _utc_now,
 ) -> DataStreamWriter:
     """Log the freshness of every micro-batch.
 
