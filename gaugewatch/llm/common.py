@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import gaugewatch
-from gaugewatch.session import stage, use_utc
+from gaugewatch.session import scratch_dir, use_utc
 
 __all__ = ["ascii_lower", "bucket_of", "only", "ship", "stage", "table"]
 
@@ -30,6 +31,23 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def stage(df: DataFrame) -> DataFrame:
+    """Write an intermediate result to the shared folder and read it back, so that its size is known.
+
+    The shuffle files behind it go as soon as it is written, since nothing reads them again.
+    """
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/llm-{uuid.uuid4().hex}"
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, "false")
+    spark.conf.set(setting, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(setting, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return use_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")

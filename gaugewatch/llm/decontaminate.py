@@ -1,23 +1,24 @@
-"""Benchmark decontamination with a distributed positional inverted index.
+"""Benchmark decontamination with a positional inverted index, distributed by document.
 
-Benchmark items are cut into windows of words. The postings (document, position) of a window's
-rarest word are enough to find every place where the window can lie: position minus offset is
-its start. Those starts are intersected with the offset-adjusted postings of the next rarest
-words, and what is left is compared word by word with the document.
+Every shard of documents holds postings: for each word of the benchmark, the places where it
+stands. A window of a benchmark item is looked up from its rarest word in the shard: each
+posting less the word's offset is a place where the window can start, and these places are
+intersected with the offset-adjusted postings of its other words, rarer ones first. What is
+left after all words are exact occurrences; nothing is shuffled to find them.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gaugewatch.llm.common import stage
 
-#: Words of a window, and how many of its rarest words are looked up in the index.
-WINDOW, RAREST = 10, 3
+#: Words of a window, and words of a shard of documents.
+WINDOW, SHARD_WORDS = 10, 2_000_000
 #: Windows that go over the documents together; more go in further blocks.
 WINDOWS_AT_ONCE = 200_000
 
@@ -52,140 +53,113 @@ def benchmark_windows(benchmark: DataFrame, item_id: str = "item_id", text: str
     return items.mapInArrow(cut, "item_id string, window string, length int").distinct()
 
 
-def count_words(texts: DataFrame, wanted: set[bytes] | None = None) -> DataFrame:
-    """word and n over all ``text`` values; with ``wanted``, of those words only."""
-    shared = texts.sparkSession.sparkContext.broadcast(wanted)
+class Shard:
+    """Postings of the words of ``vocabulary`` over some documents, one after the other.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only = shared.value
-        for batch in batches:
-            counts: Counter = Counter()
-            for content in batch["text"]:
-                counts.update(words_of(content.as_py()))
-            kept = [(w.decode(), n) for w, n in counts.items() if only is None or w in only]
-            columns = list(zip(*kept)) or [(), ()]
-            yield pa.record_batch([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64())], ["word", "n"])
-
-    return texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def rarest_words(windows: DataFrame, frequency: DataFrame, rarest: int = RAREST) -> DataFrame:
-    """window, turn (1 is the rarest), word and offset of the ``rarest`` words of each window."""
-    placed = windows.select("window", F.posexplode(F.split("window", " ")).alias("offset", "word"))
-    known = placed.join(frequency, "word", "left")
-    order = Window.partitionBy("window").orderBy(F.coalesce("n", F.lit(0)), "offset")
-    return known.select("window", F.row_number().over(order).alias("turn"), "word", "offset").where(F.col("turn") <= rarest)
-
-
-def index(texts: DataFrame, words: set[bytes]) -> DataFrame:
-    """The positional index of ``words``: word, doc and the positions in that document.
-
-    A row without word for every document holds its number of words as the only position.
+    Between documents stands a gap that no word fills, as long as the longest window.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(words)
-
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = shared.value
-        for batch in batches:
-            out_word, out_row, out_at = [], [], []
-            for row, content in enumerate(batch["text"]):
-                found = words_of(content.as_py())
-                places: dict[bytes | None, list[int]] = {None: [len(found)]}
-                for at, word in enumerate(found):
-                    if word in wanted:
-                        places.setdefault(word, []).append(at)
-                for word, positions in places.items():
-                    out_word.append(word and word.decode()), out_row.append(row), out_at.append(positions)
-            docs = batch["doc"].take(pa.array(out_row, pa.int64()))
-            columns = [pa.array(out_word, pa.string()), docs, pa.array(out_at, pa.list_(pa.int32()))]
-            yield pa.record_batch(columns, ["word", "doc", "positions"])
-
-    kind = texts.schema["doc"].dataType.simpleString()
-    return texts.select("doc", "text").mapInArrow(post, f"word string, doc {kind}, positions array<int>")
-
 
-def phrase_starts(postings: DataFrame, rarest: DataFrame) -> DataFrame:
-    """doc, window and start where all looked-up words of a window stand at their offsets.
-
-    A window's rarest word opens the candidates; each further word keeps those that are also
-    in its own offset-adjusted list.
-    """
-    pairs = postings.join(rarest, "word").select(
-        "doc", "window", "turn", F.explode(F.transform("positions", lambda p: p - F.col("offset"))).alias("start")
-    )
-    turns = rarest.groupBy("window").agg(F.max("turn").alias("turns"))
-    met = pairs.where(F.col("start") >= 0).groupBy("doc", "window", "start").agg(F.count("*").alias("met"))
-    return met.join(turns, "window").where(F.col("met") == F.col("turns")).select("doc", "window", "start")
+    def __init__(self, texts: list[list[bytes]], vocabulary: dict[bytes, int], gap: int = WINDOW):
+        lengths = np.array([len(words) for words in texts], np.int64)
+        self.first = np.concatenate([[0], np.cumsum(lengths + gap)])[: len(texts)] if texts else np.zeros(0, np.int64)
+        size = int((lengths + gap).sum())
+        self.word_at = np.full(size, -1, np.int32)
+        for at, words in zip(self.first, texts):
+            self.word_at[at : at + len(words)] = np.fromiter((vocabulary.get(w, -1) for w in words), np.int32, len(words))
+        self.places = np.argsort(self.word_at, kind="stable")
+        bounds = np.searchsorted(self.word_at[self.places], np.arange(len(vocabulary) + 1))
+        self.begin, self.end = bounds[:-1], bounds[1:]
+
+    def postings(self, word: int) -> np.ndarray:
+        """Places of a word, ascending."""
+        return self.places[self.begin[word] : self.end[word]]
+
+    def starts(self, window: np.ndarray) -> np.ndarray:
+        """Places where all words of ``window`` (word numbers) stand at their offsets."""
+        order = np.argsort(self.end[window] - self.begin[window], kind="stable")
+        found = self.postings(window[order[0]]) - order[0]
+        found = found[found >= 0]
+        for offset in order[1:]:
+            if not len(found):
+                break
+            # A place is in the offset-adjusted list of a word if that word stands there.
+            found = found[self.word_at[found + offset] == window[offset]]
+        return found
+
+    def documents(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Document number and position inside it."""
+        doc = np.searchsorted(self.first, places, side="right") - 1
+        return doc, places - self.first[doc]
+
+
+def _shards(batches: Iterator[pa.RecordBatch], vocabulary: dict[bytes, int]) -> Iterator[tuple[pa.Array, Shard, list[int]]]:
+    """Documents of up to ``SHARD_WORDS`` words, or one longer document, their index and their lengths."""
+    for batch in batches:
+        texts, size, since = [], 0, 0
+        for row, content in enumerate(batch["text"]):
+            texts.append(words_of(content.as_py()))
+            size += len(texts[-1])
+            if size > SHARD_WORDS or row + 1 == batch.num_rows:
+                yield batch["doc"].slice(since, len(texts)), Shard(texts, vocabulary), [len(t) for t in texts]
+                texts, size, since = [], 0, row + 1
 
 
 def find_windows(docs: DataFrame, windows: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(doc, window, start and length of every occurrence of a window; doc and n_words of every row), exactly.
 
     Windows go in blocks of ``WINDOWS_AT_ONCE``, so what is sent to the executors has a bound
-    whatever the benchmark's size. Rows that repeat an identifier count as one document that
-    holds the occurrences of each.
+    whatever the benchmark's size. Occurrences in rows that repeat an identifier, or have none,
+    are listed for each row.
     """
     texts = docs.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text"))
-    distinct = stage(windows.select("window", "length").distinct())
+    kind = texts.schema["doc"].dataType.simpleString()
+    distinct = stage(windows.select("window").distinct())
     blocks = max(1, -(-distinct.count() // WINDOWS_AT_ONCE))
-    candidates = lengths = None
+    found = lengths = None
     for block in range(blocks):
         own = distinct.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block)
-        words = own.select(F.explode(F.split("window", " ")).alias("word")).distinct()
-        wanted = {w.encode() for w in words.toArrow()["word"].to_pylist()}
-        frequency = stage(count_words(texts.select("text"), wanted))
-        rarest = stage(rarest_words(own, frequency))
-        looked_up = {w.encode() for w in rarest.select("word").distinct().toArrow()["word"].to_pylist()}
-        postings = stage(index(texts, looked_up))
-        found = phrase_starts(postings.where(F.col("word").isNotNull() & F.col("doc").isNotNull()), rarest)
-        candidates = found if candidates is None else candidates.unionByName(found)
-        if lengths is None:
-            counted = postings.where(F.col("word").isNull())
-            lengths = counted.select("doc", F.col("positions")[0].cast("long").alias("n_words"))
-    candidates = stage(candidates.join(distinct, "window"))
-    return _compared(texts, candidates), lengths
-
-
-def _compared(texts: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Candidates whose words all agree: the last, exact step of the intersection."""
-    per_doc = candidates.groupBy("doc").agg(F.collect_list(F.struct("window", "start", "length")).alias("asked"))
-    # The identifiers alone are small, so few texts move to meet what is asked of them.
-    named = stage(candidates.select("doc").distinct())
-    held = texts.join(named, "doc", "left_semi").join(per_doc, "doc")
-    kind = texts.schema["doc"].dataType.simpleString()
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, windows, starts, lengths, n_words = [], [], [], [], []
-            for row, (content, asked) in enumerate(zip(batch["text"], batch["asked"])):
-                words = words_of(content.as_py())
-                for one in asked.as_py():
-                    if b" ".join(words[one["start"] : one["start"] + one["length"]]) == one["window"].encode():
-                        rows.append(row), windows.append(one["window"]), starts.append(one["start"])
-                        lengths.append(one["length"])
-            columns = [
-                batch["doc"].take(pa.array(rows, pa.int64())),
-                pa.array(windows, pa.string()),
-                pa.array(starts, pa.int32()),
-                pa.array(lengths, pa.int32()),
+        asked = sorted(own.toArrow()["window"].to_pylist())
+        shared = docs.sparkSession.sparkContext.broadcast(asked)
+
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            asked = shared.value
+            vocabulary: dict[bytes, int] = {}
+            numbered = [
+                np.array([vocabulary.setdefault(w, len(vocabulary)) for w in text.encode().split(b" ")]) for text in asked
             ]
-            yield pa.record_batch(columns, ["doc", "window", "start", "length"])
-
-    shown = f"doc {kind}, window string, start int, length int"
-    return held.select("doc", "text", "asked").mapInArrow(compare, shown).distinct()
+            for ids, shard, sizes in _shards(batches, vocabulary):
+                rows, names, starts, spans = list(range(len(sizes))), [None] * len(sizes), [0] * len(sizes), list(sizes)
+                for window, text in zip(numbered, asked):
+                    places = shard.starts(window)
+                    if len(places):
+                        doc, at = shard.documents(places)
+                        rows += doc.tolist()
+                        names += [text] * len(at)
+                        starts += at.tolist()
+                        spans += [len(window)] * len(at)
+                columns = [ids.take(pa.array(rows, pa.int64())), pa.array(names, pa.string())]
+                columns += [pa.array(starts, pa.int64()), pa.array(spans, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc", "window", "start", "length"])
+
+        # Rows without window hold the length of every document.
+        rows = stage(texts.mapInArrow(search, f"doc {kind}, window string, start long, length long"))
+        hits = rows.where(F.col("window").isNotNull())
+        found = hits if found is None else found.unionByName(hits)
+        if lengths is None:
+            lengths = rows.where(F.col("window").isNull()).select("doc", F.col("length").alias("n_words"))
+    return found, lengths
 
 
 def covered(starts: str) -> Column:
     """Words under the windows of an array of (start, length), each counted once."""
-    ordered = F.array_sort(starts)
-    zero = F.struct(F.lit(0).alias("to"), F.lit(0).cast("long").alias("n"))
+    zero = F.struct(F.lit(0).cast("long").alias("to"), F.lit(0).cast("long").alias("n"))
 
     def add(state: Column, window: Column) -> Column:
         end = F.greatest(state["to"], window["start"] + window["length"])
         new = end - F.greatest(state["to"], window["start"])
-        return F.struct(end.alias("to"), (state["n"] + F.greatest(new, F.lit(0))).cast("long").alias("n"))
+        return F.struct(end.alias("to"), (state["n"] + F.greatest(new, F.lit(0))).alias("n"))
 
-    return F.aggregate(ordered, zero, add)["n"]
+    return F.aggregate(F.array_sort(starts), zero, add)["n"]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -198,7 +172,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     """
     windows = stage(benchmark_windows(benchmark))
     occurrences, counted = find_windows(docs, windows, doc_id, text)
-    hits = stage(occurrences)
+    hits = occurrences.where(F.col("doc").isNotNull())
     spans = hits.groupBy("doc").agg(F.collect_set(F.struct("start", "length")).alias("starts"))
     spans = spans.select("doc", covered("starts").alias("n_hit"))
     items = hits.select("doc", "window").distinct().join(windows.select("window", "item_id"), "window")
@@ -223,17 +197,22 @@ def near_matches(docs: DataFrame, phrase: str, slack: int, doc_id: str = "doc_id
     word; of the stops from one start the first counts. A phrase without words matches nothing.
     """
     words = words_of(phrase)
-    texts = docs.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text")).where(F.col("doc").isNotNull())
+    texts = docs.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text"))
     kind = texts.schema["doc"].dataType.simpleString()
-    if not words:
-        return docs.sparkSession.createDataFrame([], f"doc {kind}, start int, stop int")
-    postings = stage(index(texts, set(words)))
-    matched = None
-    for word in words:
-        places = postings.where(F.col("word") == word.decode()).select("doc", F.explode("positions").alias("at"))
-        if matched is None:
-            matched = places.select("doc", F.col("at").alias("start"), F.col("at").alias("last"))
-            continue
-        near = (F.col("at") > F.col("last")) & (F.col("at") < F.col("start") + len(words) + slack)
-        matched = matched.join(places, "doc").where(near).groupBy("doc", "start").agg(F.min("at").alias("last"))
-    return matched.select("doc", "start", (F.col("last") + 1).alias("stop"))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = {w: i for i, w in enumerate(dict.fromkeys(words))}
+        for ids, shard, _ in _shards(batches, vocabulary):
+            starts = shard.postings(vocabulary[words[0]]) if words else np.zeros(0, np.int64)
+            last = starts
+            for word in words[1:]:
+                postings = np.append(shard.postings(vocabulary[word]), np.iinfo(np.int64).max)
+                last = postings[np.searchsorted(postings, last, side="right")]
+                near = last < starts + len(words) + slack
+                starts, last = starts[near], last[near]
+            doc, at = shard.documents(starts)
+            inside = shard.documents(last)[0] == doc
+            columns = [ids.take(pa.array(doc[inside])), pa.array(at[inside]), pa.array((last - starts + at + 1)[inside])]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "start", "stop"])
+
+    return texts.mapInArrow(search, f"doc {kind}, start long, stop long")
