@@ -9,8 +9,10 @@ Only sampled suffixes are shuffled. Of the 69 32-byte strings inside a 100-byte
 of least identifier is its anchor; equal strings have equal anchors at equal distance, so a
 string can repeat only where an anchor bucket has several members. A stretch of strings with
 one anchor is one row. Stretches that are equal as a whole differ in nothing but their place,
-so one of them stands for all; only the stretches that meet others in an anchor bucket
-without being equal to them are opened, string by string.
+so one of them stands for all. Stretches that meet others in an anchor bucket without being
+equal to them are cut into pieces of ``PIECE`` strings by distance from the anchor, with the
+bytes that all strings of a piece have in common as the next, longer bucket; of equal pieces
+one stands for all again, and only what still meets others is opened, string by string.
 """
 
 from __future__ import annotations
@@ -22,10 +24,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gaugewatch.llm.common import stage
+from gaugewatch.llm.common import only, stage
 
 #: Bytes of a repeated string, bytes of an anchor.
 LENGTH, ANCHOR = 100, 32
+#: Strings of a piece; their common bytes are LENGTH - PIECE + 1.
+PIECE = 8
 #: String starts of one document that are handled together; places inside one fit 20 bits.
 CHUNK = 1 << 19
 
@@ -56,7 +60,7 @@ def buckets(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def stretches(data: bytes) -> tuple[np.ndarray, ...]:
-    """anchor bucket, stretch identifier, first start, number of further starts; for every stretch."""
+    """anchor bucket, stretch identifier, first start, further starts, distance of the anchor; for every stretch."""
     grams, whole = buckets(data)
     n = len(whole)
     # The place breaks ties towards the left and says where the anchor is.
@@ -71,8 +75,9 @@ def stretches(data: bytes) -> tuple[np.ndarray, ...]:
     first = np.concatenate([[0], np.flatnonzero(anchor[1:] != anchor[:-1]) + 1])
     last = np.concatenate([first[1:] - 1, [n - 1]])
     more = last - first
-    shape = (more * 128 + anchor[first] - first).astype(np.uint64)
-    return grams[anchor[first]].view(np.int64), _join(_join(whole[first], whole[last]), shape).view(np.int64), first, more
+    lead = anchor[first] - first
+    stretch = _join(_join(whole[first], whole[last]), (more * 128 + lead).astype(np.uint64))
+    return grams[anchor[first]].view(np.int64), stretch.view(np.int64), first, more, lead
 
 
 def _chunks(text: str | None) -> Iterator[tuple[int, bytes]]:
@@ -96,7 +101,7 @@ def _map(texts: DataFrame, rows_of: Callable, schema: str) -> DataFrame:
                     size += len(columns[0])
                 if made and (size > 200_000 or i + 1 == len(parts)):
                     doc = batch.column(0).take(pa.array(np.concatenate(owner)))
-                    columns = [pa.array(np.concatenate(c)) for c in zip(*made)]
+                    columns = [_column(c) for c in zip(*made)]
                     yield pa.RecordBatch.from_arrays([doc, *columns], ["doc", *names])
                     made, owner, size = [], [], 0
 
@@ -105,15 +110,21 @@ def _map(texts: DataFrame, rows_of: Callable, schema: str) -> DataFrame:
     return texts.mapInArrow(run, f"doc {kind}, {schema}")
 
 
+def _column(parts: tuple) -> pa.Array:
+    if isinstance(parts[0], np.ndarray):
+        return pa.array(np.concatenate(parts))
+    return pa.array([x for part in parts for x in part], pa.list_(pa.int64()))
+
+
 def anchors(texts: DataFrame) -> DataFrame:
-    """doc, bucket, stretch, start and more of every stretch of every text."""
+    """doc, bucket, stretch, start, more and lead of every stretch of every text."""
 
     def rows_of(text: str | None) -> Iterator[tuple[np.ndarray, ...]]:
         for at, data in _chunks(text):
-            bucket, stretch, first, more = stretches(data)
-            yield bucket, stretch, first + at, more
+            bucket, stretch, first, more, lead = stretches(data)
+            yield bucket, stretch, first + at, more, lead
 
-    return _map(texts.select("doc", "text"), rows_of, "bucket long, stretch long, start long, more long")
+    return _map(texts.select("doc", "text"), rows_of, "bucket long, stretch long, start long, more long, lead long")
 
 
 def shared_buckets(texts: DataFrame) -> DataFrame:
@@ -138,38 +149,59 @@ def repeated(texts: DataFrame) -> DataFrame:
     shared = stage(shared_buckets(texts))
     members = stage(anchors(texts).join(shared, "bucket", "left_semi"))
     place = F.struct("doc", "start")
-    first = members.groupBy("bucket", "stretch").agg(F.min(F.struct("doc", "start", "more")).alias("first"))
+    first = members.groupBy("bucket", "stretch").agg(F.min(F.struct("doc", "start", "more", "lead")).alias("first"))
     first = stage(first)
     kinds = first.groupBy("bucket").agg(F.count("*").alias("kinds")).where(F.col("kinds") > 1)
-    # One of several equal stretches is opened where its bucket has others.
-    opened = first.join(kinds, "bucket", "left_semi").select("first.*").groupBy("doc")
-    opened = opened.agg(F.collect_list(F.struct("start", "more")).alias("opened"))
-
-    def rows_of(text: str | None, spans: list[dict]) -> Iterator[tuple[np.ndarray, ...]]:
-        data = (text or "").encode()
-        for at in range(0, len(spans), 2000):
-            part = spans[at : at + 2000]
-            starts = np.concatenate([np.arange(s["start"], s["start"] + s["more"] + 1) for s in part])
-            pieces = [data[s["start"] : s["start"] + s["more"] + LENGTH] for s in part]
-            both = [_both(piece) for piece in pieces]
-            yield np.concatenate([b[0] for b in both]), np.concatenate([b[1] for b in both]), starts
-
-    held = texts.select("doc", "text").join(opened, "doc")
-    strings = stage(_map(held.select("doc", "text", "opened"), rows_of, "string long, other long, start long"))
-    firsts = strings.groupBy("string", "other").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    # One of several equal stretches is cut where its bucket has others.
+    opened = first.join(kinds, "bucket", "left_semi").select("bucket", "first.*").groupBy("doc")
+    opened = stage(opened.agg(F.collect_list(F.struct("bucket", "start", "more", "lead")).alias("opened")))
+    held = only(texts.select("doc", "text"), opened, "doc").join(opened, "doc")
+    schema = "core long, piece long, start long, more long, strings array<long>"
+    pieces = stage(_map(held.select("doc", "text", "opened"), _pieces, schema))
+
+    # Equal pieces are one again; the others in a bucket are opened.
+    one = stage(pieces.groupBy("core", "piece").agg(F.min(place).alias("first"), F.count("*").alias("n")))
+    mixed = stage(one.groupBy("core").agg(F.count("*").alias("kinds")).where(F.col("kinds") > 1).select("core"))
+    again = pieces.select("core", "piece", "doc", "start", "more").join(one.where(F.col("n") > 1).drop("n"), ["core", "piece"])
+    again = again.where(place != F.col("first")).select("doc", "start", "more")
+    strings = pieces.join(mixed, "core").select("core", "doc", "start", F.posexplode("strings").alias("at", "string"))
+    strings = stage(strings.select("core", "string", "doc", (F.col("start") + F.col("at")).alias("start")))
+    firsts = strings.groupBy("core", "string").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     firsts = firsts.where(F.col("n") > 1).drop("n")
-    later = place != F.col("first")
-    single = strings.join(firsts, ["string", "other"]).where(later).select("doc", "start", F.lit(0).cast("long").alias("more"))
+    single = strings.join(firsts, ["core", "string"]).where(place != F.col("first"))
+    single = again.unionByName(single.select("doc", "start", F.lit(0).cast("long").alias("more")))
     copies = members.join(first.drop("more"), ["bucket", "stretch"])
     copies = copies.where(place != F.struct("first.doc", "first.start")).select("doc", "start", "more")
     return copies.unionByName(single).select("doc", "start", (F.col("start") + F.col("more") + LENGTH).alias("end"))
 
 
-def _both(piece: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Two identifiers of every string of a stretch, the second from the strings' ends."""
-    grams, whole = buckets(piece)
-    n = len(whole)
-    return whole.view(np.int64), _join(grams[LENGTH - ANCHOR : LENGTH - ANCHOR + n], grams[:n]).view(np.int64)
+def _pieces(text: str | None, spans: list[dict]) -> Iterator[tuple]:
+    """core, piece, first start, number of further starts and the strings of every piece of the given stretches."""
+    data = (text or "").encode()
+    rows: list[tuple] = []
+    for span in spans:
+        start, more, lead = span["start"], span["more"], span["lead"]
+        # Room on both sides, for the bytes that a whole piece has in common.
+        left = max(0, start - PIECE)
+        known, whole = buckets(data[left : start + more + LENGTH + PIECE])
+        bucket = np.array([span["bucket"]]).view(np.uint64)
+        # A string's distance from the anchor falls as its start moves on.
+        far, near = lead, lead - more
+        for number in range(near // PIECE, far // PIECE + 1):
+            high, low = min(far, number * PIECE + PIECE - 1), max(near, number * PIECE)
+            begin, end = start + lead - high, start + lead - low
+            # All strings of a piece hold the bytes from the start of its last string to the end of its first.
+            inner = start + lead - number * PIECE - left
+            common = _join(known[inner : inner + 1], known[inner + LENGTH - PIECE + 1 - ANCHOR :][:1])
+            middle = _join(known[inner + 24 : inner + 25], known[inner + 48 : inner + 49])
+            core = _join(_join(common, middle), bucket ^ np.uint64(number))
+            own = whole[begin - left : end - left + 1]
+            shape = np.array([(high * 128 + low)], np.uint64)
+            piece = _join(_join(own[:1], own[-1:]), shape)
+            rows.append((core.view(np.int64)[0], piece.view(np.int64)[0], begin, end - begin, own.view(np.int64).tolist()))
+    for at in range(0, len(rows), 20_000):
+        core, piece, begin, more, strings = zip(*rows[at : at + 20_000])
+        yield *(np.array(c) for c in (core, piece, begin, more)), strings
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -63,7 +63,7 @@ def test_stretches_hold_every_start_once(text, pad):
     data = (text + "c" * pad).encode()
     if len(data) < suffix_dedup.LENGTH:
         return
-    _, _, first, more = suffix_dedup.stretches(data)
+    _, _, first, more, _ = suffix_dedup.stretches(data)
     starts = np.concatenate([np.arange(f, f + m + 1) for f, m in zip(first, more)])
     assert starts.tolist() == list(range(len(data) - suffix_dedup.LENGTH + 1))
 
