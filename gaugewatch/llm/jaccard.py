@@ -1,11 +1,12 @@
 """Jaccard links of documents by a blocked sparse product of the document-by-n-gram incidence.
 
 Only the columns that can decide are multiplied. Under any order of the n-grams, two sets of
-similarity t or more share one of the first |x| - ceil(t|x|) + 1 of either, so the product runs
-over these; n-grams that many documents share come last in the order. Pairs are dropped by
-bounds that follow from the sizes: one set at least t times the other, and a symmetric
-difference of at most (1 - t) / (1 + t) of both sizes, which a 512-bit parity sketch bounds from
-below. What is left is counted exactly.
+similarity t or more share k of the first |x| - ceil(t|x|) + k of either, so the product runs
+over these and accumulates their overlap; n-grams that many documents share come last in the
+order. Pairs are dropped by bounds that follow from the sizes: fewer than k n-grams shared (or
+ceil(t|x|), if that is less), one set below t times the other, or a symmetric difference above
+(1 - t) / (1 + t) of both sizes, which a 512-bit parity sketch bounds from below. What is left
+is counted exactly.
 
 Equal sets are one row from the start. Each n-gram's rows first meet the row of least
 identifier only; whatever links joins that row's component, and only rows that are still in
@@ -29,7 +30,9 @@ from gaugewatch.llm.common import only, stage
 WORD_BYTES = bytes(32 if b in (32, 9, 10, 11, 12, 13) else b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: The share of documents whose n-grams are counted to find common ones, how often one must
 #: occur there, and how many are kept. This orders n-grams; no result depends on it.
-COUNTED, COMMON, MOST_COMMON = 16, 6, 200_000
+COUNTED, COMMON, MOST_COMMON = 16, 2, 2_000_000
+#: k above: what two linked sets share of the first n-grams of both at least.
+SHARED = 4
 SKETCH_WORDS = 8
 CACHE_WORDS = 500_000
 
@@ -61,7 +64,9 @@ def shingles(text: str | None, n: int, hashes: WordHashes) -> np.ndarray:
 
 
 def prefix_length(size: int, percent: int) -> int:
-    return size - -(-percent * size // 100) + 1 if size else 0
+    """The n-grams of a set that the product runs over."""
+    least = -(-percent * size // 100)
+    return size - least + min(SHARED, least)
 
 
 def common_shingles(texts: DataFrame, n: int) -> np.ndarray:
@@ -77,8 +82,15 @@ def common_shingles(texts: DataFrame, n: int) -> np.ndarray:
 
     some = texts.where(F.pmod(F.xxhash64("text"), F.lit(COUNTED)) == 0).select("text")
     counted = some.mapInArrow(count, "shingle long, times long").groupBy("shingle").agg(F.sum("times").alias("times"))
-    counted = counted.where(F.col("times") >= COMMON).orderBy(F.desc("times"), "shingle").limit(MOST_COMMON)
-    return np.sort(counted.select("shingle").toArrow()["shingle"].to_numpy().view(np.uint64))
+    counted = stage(counted.where(F.col("times") >= COMMON))
+    # The least number of times at which the bound on how many are kept holds.
+    least, kept = COMMON, 0
+    for times, rows in sorted(counted.groupBy("times").count().collect(), reverse=True):
+        kept += rows
+        if kept > MOST_COMMON:
+            least = times + 1
+            break
+    return np.sort(counted.where(F.col("times") >= least).select("shingle").toArrow()["shingle"].to_numpy().view(np.uint64))
 
 
 def incidence(texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -192,19 +204,25 @@ def similarity_components(
     entries = sets.select("doc", "size", F.explode("prefix").alias("shingle"))
     heads = entries.groupBy("shingle").agg(F.min("doc").alias("head"), F.count("*").alias("rows"))
     heads = heads.where(F.col("rows") > 1)
-    members = stage(entries.join(heads, "shingle").select("shingle", "doc", "size", "head", "rows"))
+    members = stage(entries.join(heads, "shingle").select("shingle", "doc", "head"))
+
+    def enough(a: str, b: str) -> Column:
+        """Of the n-grams counted in ``shared``."""
+        least = F.ceil(F.least(F.col(f"{a}.size"), F.col(f"{b}.size")) * percent / 100)
+        return F.col("shared") >= F.least(F.lit(SHARED), least)
 
     # Every member against the least one of its n-grams.
-    stars = members.where(F.col("doc") != F.col("head")).select(F.col("head").alias("a"), F.col("doc").alias("b")).distinct()
+    stars = members.where(F.col("doc") != F.col("head")).groupBy(F.col("head").alias("a"), F.col("doc").alias("b"))
+    stars = stars.agg(F.count("*").alias("shared"))
     one, other = sketched.alias("x"), sketched.alias("y")
     stars = stars.join(one, F.col("b") == F.col("x.doc")).join(other, F.col("a") == F.col("y.doc"))
-    stars = stage(stars.where(may_link("x", "y", percent)).select("a", "b"))
+    stars = stage(stars.where(may_link("x", "y", percent) & enough("x", "y")).select("a", "b"))
     links = linked(stars, texts, n, percent)
     found = _labelled(components(links))
 
-    # Members that are still apart, where a third member leaves room for it.
-    open_rows = members.where((F.col("rows") > 2) & (F.col("doc") != F.col("head"))).select("shingle", "doc")
-    open_rows = open_rows.join(found, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    # Members that are still apart: all n-grams that two of them share are open.
+    open_rows = members.select("shingle", "doc").join(found, "doc", "left")
+    open_rows = open_rows.withColumn("component", F.coalesce("component", "doc"))
     several = open_rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     several = several.where(F.col("low") != F.col("high"))
     apart = stage(open_rows.join(several, "shingle", "left_semi").join(sketched, "doc"))
@@ -215,7 +233,10 @@ def similarity_components(
         & (F.col("x.component") != F.col("y.component"))
         & may_link("x", "y", percent)
     )
-    rest = stage(x.join(y, meet).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct())
+    met = x.join(y, meet).groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
+    met = met.agg(F.count("*").alias("shared"), F.min("x.size").alias("size_a"), F.min("y.size").alias("size_b"))
+    least = F.ceil(F.least("size_a", "size_b") * percent / 100)
+    rest = stage(met.where(F.col("shared") >= F.least(F.lit(SHARED), least)).select("a", "b"))
     links = links.union(linked(rest, texts, n, percent))
     found = _labelled(components(links))
 
