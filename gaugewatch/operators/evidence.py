@@ -155,12 +155,12 @@ def incident_phase_stats(long: DataFrame, incidents: DataFrame, context_seconds:
 
 
 def gap_profile(long: DataFrame, tags: list[str], start: datetime, end: datetime) -> DataFrame:
-    """Point counts and time gaps per tag; a single point has no gaps."""
+    """Counts of values and gaps between the times of points per tag; a single point has no gaps."""
     limits = {"gaps_over_5m": 300, "gaps_over_15m": 900}
-    totals = gap_totals(_window(long, tags, start, end), [TAG], TS, limits)
+    totals = gap_totals(_window(long, tags, start, end), [TAG], TS, limits, value=VALUE)
     return totals.select(
         TAG,
-        "point_count",
+        F.col("value_count").alias("point_count"),
         "first_ts",
         "last_ts",
         F.col("gap_max").alias("max_gap_seconds"),
@@ -200,8 +200,7 @@ def threshold_context(
     long: DataFrame, requested: list[str], start: datetime, end: datetime, lower: float, upper: float
 ) -> DataFrame:
     """Extremes and counts beyond the given limits, per requested and stored tag."""
-    # Bounded by the argument list, hence safe to broadcast.
-    asked = F.broadcast(_requests(long, requested))
+    asked = _requests(long, requested)
     return (
         long.filter(half_open(F.col(TS), start, end))
         .withColumn("tag_key", tag_key(F.col(TAG)))

@@ -8,10 +8,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from gaugewatch.config import OutlierRule, RunGrid
 from gaugewatch.functions.columns import json_keep_nulls, percentiles
-from gaugewatch.operators.runs import at_minutes, of_tags, tag_runs, window_extrema, with_run_columns
+from gaugewatch.operators.runs import of_tags, tag_runs, window_extrema, with_run_columns
 from gaugewatch.operators.trailing import fenced_history_percentiles, fences
-from gaugewatch.schemas import TAG, TS, VALUE
-from gaugewatch.session import stage
+from gaugewatch.schemas import TAG, VALUE
 
 
 def iqr_fences(readings: DataFrame, accuracy: int = 10000) -> DataFrame:
@@ -40,17 +39,6 @@ def fenced_percentiles(readings: DataFrame, bounds: DataFrame, accuracy: int = 1
     )
 
 
-def single_history(
-    long: DataFrame, grid: RunGrid, lookback_minutes: int, history: timedelta, accuracy: int
-) -> DataFrame:
-    """Fenced p1 / p99 for a grid of one run: two passes over one slice of history."""
-    end = grid.step_minutes - lookback_minutes
-    start = end - int(history / timedelta(minutes=1))
-    readings = long.filter((F.col(TS) >= at_minutes(grid, start)) & (F.col(TS) < at_minutes(grid, end)))
-    bounds = stage(iqr_fences(readings, accuracy))
-    return fenced_percentiles(readings, bounds, accuracy).withColumn("run_no", F.lit(1))
-
-
 def outlier(
     long: DataFrame,
     tags: list[str],
@@ -59,18 +47,14 @@ def outlier(
     station: str,
     source_table: str,
     extrema: DataFrame | None = None,
-    accuracy: int = 10000,
     fanout: int = 256,
     levels: int | None = None,
 ) -> DataFrame:
-    """Judge every tag in every run window; ``accuracy`` matters for a single run only."""
+    """Judge every tag in every run window; one run and a grid of runs go the same exact way."""
     runs = tag_runs(long.sparkSession, tags, grid)
     watched = of_tags(long, tags)
     history = timedelta(days=rule.history_days)
-    if grid.count == 1:
-        limits = single_history(watched, grid, rule.lookback_minutes, history, accuracy)
-    else:
-        limits = fenced_history_percentiles(watched, runs, grid, rule.lookback_minutes, history, fanout, levels)
+    limits = fenced_history_percentiles(watched, runs, grid, rule.lookback_minutes, history, fanout, levels)
     if extrema is None:
         extrema = window_extrema(watched, grid, rule.lookback_minutes)
     judged = (

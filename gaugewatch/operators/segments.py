@@ -69,16 +69,18 @@ def gap_totals(
     ts: str,
     over_seconds: dict[str, int],
     slice_seconds: int = DAY_SECONDS,
+    value: str | None = None,
 ) -> DataFrame:
     """Gaps between consecutive points, in whole seconds, summed up per key.
 
     Output: keys, point_count, first_ts, last_ts, gap_count, gap_sum, gap_max and one count
     column per entry of ``over_seconds`` (gaps strictly longer). Points of one second are
-    first folded together: between n of them lie n - 1 gaps of zero.
+    first folded together: between n of them lie n - 1 gaps of zero. With ``value``,
+    value_count counts the points where that column is there.
     """
     seconds = (
         points.groupBy(*keys, F.unix_seconds(ts).alias("_s"))
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(ts).alias("_first_ts"), F.max(ts).alias("_last_ts"))
+        .agg(F.count(F.lit(1)).alias("_n"), F.count(value or F.lit(1)).alias("_values"), F.min(ts).alias("_first_ts"), F.max(ts).alias("_last_ts"))
         .withColumn("_slice", F.floor(F.col("_s") / slice_seconds))
     )
     in_slice = Window.partitionBy(*keys, "_slice").orderBy("_s")
@@ -87,6 +89,7 @@ def gap_totals(
         .groupBy(*keys, "_slice")
         .agg(
             F.sum("_n").alias("_n"),
+            F.sum("_values").alias("_values"),
             F.min("_first_ts").alias("_first_ts"),
             F.max("_last_ts").alias("_last_ts"),
             F.min("_s").alias("_first"),
@@ -103,6 +106,7 @@ def gap_totals(
         .groupBy(*keys)
         .agg(
             F.sum("_n").alias("point_count"),
+            *([F.sum("_values").alias("value_count")] if value else []),
             F.min("_first_ts").alias("first_ts"),
             F.max("_last_ts").alias("last_ts"),
             (F.sum("_n") - 1).alias("gap_count"),

@@ -260,7 +260,7 @@ def q_outlier_hourly(spark, sf_dir):
 def q_outlier_single(spark, sf_dir):
     judged = outlier(
         events_long(spark, sf_dir), [*EVENT_TAGS, "absent"], RunGrid.single(RUN_AT),
-        OutlierRule(30, 14, 1.5), STATION, SOURCE, accuracy=EXACT,
+        OutlierRule(30, 14, 1.5), STATION, SOURCE,
     )
     return shown(judged.select(*_RUN, *_LIMITS, "create_ts"))
 
@@ -613,7 +613,7 @@ def q_stream_stuck_value(spark, sf_dir):
         .parquet(sf_dir)
         .select(F.col("ts").cast("timestamp").alias(TS), F.col("event_type").alias(TAG), F.col("value").alias(VALUE))
     )
-    judged = stuck_value_stream(readings, STUCK)
+    judged = stuck_value_stream(readings, STUCK, delay="0 seconds")
     return shown(_finish(judged))
 
 

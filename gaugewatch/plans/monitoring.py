@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gaugewatch.config import OutlierRule, RunGrid, Settings, StuckValueRule, hourly, rule_config, rule_tags
+from gaugewatch.config import OutlierRule, RunGrid, Settings, StuckValueRule, hourly, station_named
 from gaugewatch.operators.freshness import freshness
 from gaugewatch.operators.incidents import merge_incidents
 from gaugewatch.operators.outlier import outlier
@@ -43,7 +43,7 @@ def monitor_history(
 
 def _monitored(spark: SparkSession, settings: Settings, rule_type: str) -> tuple[DataFrame, list[str]]:
     wide = spark.table(settings.quality_source_table)
-    found, _ = resolve_tags(wide.columns, rule_tags(settings.station, rule_type))
+    found, _ = resolve_tags(wide.columns, station_named(settings.station).lookup("watched", rule_type))
     return wide, found
 
 
@@ -59,8 +59,8 @@ def run_backfill(spark: SparkSession, settings: Settings, **outlier_options) ->
         stuck_tags,
         outlier_tags,
         grid,
-        hourly(rule_config(settings.station, "stuck_value")),
-        hourly(rule_config(settings.station, "outlier")),
+        hourly(station_named(settings.station).lookup("rules", "stuck_value")),
+        hourly(station_named(settings.station).lookup("rules", "outlier")),
         settings.station,
         settings.quality_source_table,
         **outlier_options,
@@ -73,7 +73,7 @@ def run_single(spark: SparkSession, settings: Settings, rule_type: str, run_dt:
     """One rule at one run time, the end of the history by default."""
     ensure_log_table(spark, settings.monitor_log_table)
     grid = RunGrid.single(run_dt or settings.history_end)
-    rule = rule_config(settings.station, rule_type)
+    rule = station_named(settings.station).lookup("rules", rule_type)
     wide, tags = _monitored(spark, settings, rule_type)
     judge = {"stuck_value": stuck_value, "outlier": outlier}[rule_type]
     judged = judge(
@@ -94,7 +94,7 @@ def run_freshness(
 ) -> None:
     """Log the freshness of the source, then stop the job if it is stale."""
     ensure_log_table(spark, settings.monitor_log_table)
-    rule = rule_config(settings.station, "freshness_lag")
+    rule = station_named(settings.station).lookup("rules", "freshness_lag")
     judged = stage(
         freshness(
             spark.table(settings.quality_source_table), rule, run_dt, settings.station,
@@ -102,6 +102,6 @@ def run_freshness(
         )
     )
     append_log(judged, settings.monitor_log_table)
-    failed = [row.station for row in judged.filter(F.col("status") == "failed").select("station").take(10)]
+    failed = [row.station for row in judged.filter(F.col("status") == "failed").select("station").distinct().collect()]
     if failed:
         raise RuntimeError(f"Freshness check failed for station(s): {', '.join(failed)}")

@@ -59,9 +59,10 @@ class IncidentStore:
         self.spark, self.name = spark, name
 
     def _versions(self) -> list[int]:
-        prefix = self.name.split(".")[-1] + "_v"
+        # Catalogs lower-case names.
+        prefix = self.name.split(".")[-1].lower() + "_v"
         database = self.name.rpartition(".")[0] or None
-        names = [table.name for table in self.spark.catalog.listTables(database)]
+        names = [table.name.lower() for table in self.spark.catalog.listTables(database)]
         return sorted(int(n[len(prefix):]) for n in names if n.startswith(prefix) and n[len(prefix):].isdigit())
 
     def ensure(self) -> None:

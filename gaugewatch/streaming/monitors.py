@@ -22,7 +22,7 @@ from gaugewatch.sources.tables import IncidentStore, append_log
 
 
 def tumbling_extrema(
-    readings: DataFrame, window_minutes: int = 60, delay: str = "0 seconds", zero_filtered: tuple[str, ...] = ()
+    readings: DataFrame, window_minutes: int, delay: str, zero_filtered: tuple[str, ...] = ()
 ) -> DataFrame:
     """Count, min and max per tag and tumbling window.
 
@@ -45,7 +45,7 @@ def tumbling_extrema(
     )
 
 
-def stuck_value_stream(readings: DataFrame, rule: StuckValueRule, delay: str = "0 seconds") -> DataFrame:
+def stuck_value_stream(readings: DataFrame, rule: StuckValueRule, delay: str) -> DataFrame:
     """Stuck-value status of every tumbling window that has readings.
 
     A window without any reading of a tag produces no row on a stream; the batch rule

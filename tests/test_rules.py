@@ -4,16 +4,14 @@ from datetime import datetime, timedelta
 import pytest
 
 from gaugewatch.config import (
+    DEFAULT_STATION,
     FreshnessRule,
     OutlierRule,
     RunGrid,
     StuckValueRule,
     hourly,
-    rule_config,
-    rule_tags,
-    validate_tags,
+    station_named,
     validate_window,
-    validate_xy,
     window_bounds,
 )
 from gaugewatch.operators.freshness import freshness
@@ -153,26 +151,26 @@ def test_freshness(spark):
 
 
 def test_configuration():
-    assert hourly(rule_config("geothermal station", "stuck_value")).min_expected_rows == 60
-    assert hourly(rule_config("geothermal station", "outlier")).lookback_minutes == 60
-    assert len(rule_tags("geothermal station", "stuck_value")) == 44
-    assert len(rule_tags("geothermal station", "outlier")) == 45
+    assert hourly(DEFAULT_STATION.lookup("rules", "stuck_value")).min_expected_rows == 60
+    assert hourly(DEFAULT_STATION.lookup("rules", "outlier")).lookback_minutes == 60
+    assert len(DEFAULT_STATION.lookup("watched", "stuck_value")) == 44
+    assert len(DEFAULT_STATION.lookup("watched", "outlier")) == 45
     with pytest.raises(ValueError):
-        rule_config("elsewhere", "outlier")
+        station_named("elsewhere")
     with pytest.raises(ValueError):
-        rule_tags("geothermal station", "freshness_lag")
+        DEFAULT_STATION.lookup("watched", "freshness_lag")
     with pytest.raises(ValueError):
         RunGrid.hourly(datetime(2024, 1, 1, 0, 30), datetime(2024, 1, 2))
     assert RunGrid.hourly(datetime(2024, 6, 1), datetime(2024, 10, 1)).count == 2928
 
 
 def test_selection_checks():
-    assert validate_tags(["Humidity"]) == ["Humidity"]
+    assert DEFAULT_STATION.select(["Humidity"]) == ["Humidity"]
     for bad in ([], ["Humidity"] * 5, ["nothing"]):
         with pytest.raises(ValueError):
-            validate_tags(bad)
+            DEFAULT_STATION.select(bad)
     with pytest.raises(ValueError):
-        validate_xy(["Humidity"])
+        DEFAULT_STATION.select(["Humidity"], 2, 2)
     assert validate_window(START, START + timedelta(days=90, hours=23)).large
     assert not validate_window(START, START + timedelta(days=30)).large
     for end in (START, START + timedelta(days=91)):

@@ -54,9 +54,7 @@ def test_first_existing_name_wins_even_when_empty(spark):
 
 
 def test_load_arguments(spark, feed, tmp_path):
-    assert readings.source_directory(" /a/b ") == "/a/b/"
-    assert readings.write_mode(" Append") == "append"
-    for bad in (lambda: readings.source_directory(" "), lambda: readings.write_mode("merge"),
+    for bad in (lambda: readings.load_json(spark, " ", "t"), lambda: readings.load_json(spark, feed, "t", "merge"),
                 lambda: readings.load_json(spark, feed, " ")):
         with pytest.raises(ValueError):
             bad()
@@ -150,9 +148,6 @@ def test_comparison_forms(spark):
         TS, "Humidity", "Net_Power", "Station_Enthalpy"
     ]
     assert reshape.comparison_xy(wide, ["Humidity", "Net_Power"]).columns == [TS, "Humidity", "Net_Power"]
-    assert reshape.plot_mode("Line") == "line"
-    with pytest.raises(ValueError):
-        reshape.plot_mode("Pie")
     assert reshape.tag_history(wide, ["Humidity"], datetime(2024, 1, 1), datetime(2024, 1, 1)).count() == 1
     assert tables.incident_history(wide, "Net_Power", datetime(2024, 1, 1, 1), datetime(2024, 1, 1, 2)).count() == 1
 
@@ -252,14 +247,14 @@ def test_stuck_stream_equals_batch_windows(spark, settings, tmp_path):
     long = reshape.wide_to_long(spark.table("station_minutes"), ["Humidity", "Net_Power"])
     long.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(long.schema).parquet(str(tmp_path / "in"))
-    judged = monitors.stuck_value_stream(stream, rule)
+    judged = monitors.stuck_value_stream(stream, rule, delay="0 seconds")
     query = (
         judged.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c"))
         .trigger(availableNow=True).start(str(tmp_path / "out"))
     )
     query.awaitTermination()
     got = spark.read.schema(judged.schema).parquet(str(tmp_path / "out"))
-    batch = monitors.stuck_value_stream(long, rule).filter(F.col("window_end") < str(settings.history_end))
+    batch = monitors.stuck_value_stream(long, rule, delay="0 seconds").filter(F.col("window_end") < str(settings.history_end))
     assert sorted(got.collect()) == sorted(batch.collect())
 
 
