@@ -111,9 +111,11 @@ def _map(texts: DataFrame, rows_of: Callable, schema: str) -> DataFrame:
 
 
 def _column(parts: tuple) -> pa.Array:
+    """Numbers, or (lengths, values) of lists, of several texts as one column."""
     if isinstance(parts[0], np.ndarray):
         return pa.array(np.concatenate(parts))
-    return pa.array([x for part in parts for x in part], pa.list_(pa.int64()))
+    offsets = np.concatenate([[0], np.cumsum(np.concatenate([lengths for lengths, _ in parts]))])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([v for _, v in parts])))
 
 
 def anchors(texts: DataFrame) -> DataFrame:
@@ -178,30 +180,30 @@ def repeated(texts: DataFrame) -> DataFrame:
 def _pieces(text: str | None, spans: list[dict]) -> Iterator[tuple]:
     """core, piece, first start, number of further starts and the strings of every piece of the given stretches."""
     data = (text or "").encode()
-    rows: list[tuple] = []
-    for span in spans:
-        start, more, lead = span["start"], span["more"], span["lead"]
-        # Room on both sides, for the bytes that a whole piece has in common.
-        left = max(0, start - PIECE)
-        known, whole = buckets(data[left : start + more + LENGTH + PIECE])
-        bucket = np.array([span["bucket"]]).view(np.uint64)
-        # A string's distance from the anchor falls as its start moves on.
-        far, near = lead, lead - more
-        for number in range(near // PIECE, far // PIECE + 1):
-            high, low = min(far, number * PIECE + PIECE - 1), max(near, number * PIECE)
-            begin, end = start + lead - high, start + lead - low
-            # All strings of a piece hold the bytes from the start of its last string to the end of its first.
-            inner = start + lead - number * PIECE - left
-            common = _join(known[inner : inner + 1], known[inner + LENGTH - PIECE + 1 - ANCHOR :][:1])
-            middle = _join(known[inner + 24 : inner + 25], known[inner + 48 : inner + 49])
-            core = _join(_join(common, middle), bucket ^ np.uint64(number))
-            own = whole[begin - left : end - left + 1]
-            shape = np.array([(high * 128 + low)], np.uint64)
-            piece = _join(_join(own[:1], own[-1:]), shape)
-            rows.append((core.view(np.int64)[0], piece.view(np.int64)[0], begin, end - begin, own.view(np.int64).tolist()))
-    for at in range(0, len(rows), 20_000):
-        core, piece, begin, more, strings = zip(*rows[at : at + 20_000])
-        yield *(np.array(c) for c in (core, piece, begin, more)), strings
+    start, more, far, bucket = (np.array([s[name] for s in spans], np.int64) for name in ("start", "more", "lead", "bucket"))
+    # A string's distance from the anchor falls from ``far`` to ``near`` as its start moves on.
+    near = far - more
+    count = far // PIECE - near // PIECE + 1
+    owner = np.repeat(np.arange(len(spans)), count)
+    number = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + (near // PIECE)[owner]
+    high = np.minimum(far[owner], number * PIECE + PIECE - 1)
+    low = np.maximum(near[owner], number * PIECE)
+    anchor = (start + far)[owner]
+    begin, further, inner = anchor - high, high - low, anchor - number * PIECE
+    chunk = begin // CHUNK
+    for c in np.unique(chunk):
+        own = chunk == c
+        known, whole = buckets(data[c * CHUNK : (c + 1) * CHUNK + 2 * PIECE + LENGTH])
+        at, n, common = begin[own] - c * CHUNK, further[own], inner[own] - c * CHUNK
+        # All strings of a piece hold the bytes from the start of its last string to the end of its first.
+        ends = _join(known[common], known[common + LENGTH - PIECE + 1 - ANCHOR])
+        middle = _join(known[common + 24], known[common + 48])
+        core = _join(_join(ends, middle), bucket[owner[own]].view(np.uint64) ^ number[own].astype(np.uint64))
+        shape = (high[own] * 128 + low[own]).astype(np.uint64)
+        piece = _join(_join(whole[at], whole[at + n]), shape)
+        places = np.repeat(at, n + 1) + np.arange((n + 1).sum()) - np.repeat(np.cumsum(n + 1) - n - 1, n + 1)
+        strings = (n + 1, whole[places].view(np.int64))
+        yield core.view(np.int64), piece.view(np.int64), begin[own], n, strings
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
