@@ -15,8 +15,10 @@ from gaugewatch.session import scratch_dir, use_utc
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go whose text is null, has no letter, or is claimed by no language."""
     model = language.fit(docs, F.coalesce(bucket_of("doc_id", 4) != 2, F.lit(True)))
-    judged = language.identify(docs, model, keep=tuple(docs.columns))
-    return judged.where(~F.col("rejected")).select(*docs.columns)
+    # Whole rows in one column, so that no column of theirs clashes with a new one.
+    rows = docs.select(F.struct(*docs.columns).alias("whole"), "text")
+    judged = language.identify(rows, model, keep=("whole",))
+    return judged.where(~F.col("rejected")).select("whole.*")
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,14 +17,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 #: Hash buckets of subwords, embedding width, n-gram lengths in bytes.
 BUCKETS, WIDTH, GRAMS = 4096, 16, (1, 2, 3, 4)
 #: The sample: this many rows per language are expected, each whole; a fifth calibrates.
-ROWS_PER_LANGUAGE, CALIBRATION = 1500, 5
+ROWS_PER_LANGUAGE, CALIBRATION = 500, 5
 EPOCHS, BATCH, RATE, SEED = 30, 64, 0.5, 11
 #: Bytes of one text hashed at a time.
 CHUNK = 1 << 20
 
 UNKNOWN = "und"
 
-_upper, _lower = bytes(range(65, 91)), bytes(range(97, 123))
 #: ASCII letters in lower case; every other ASCII byte is a blank, all others stay.
 FOLD = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 _letter = np.random.default_rng(SEED).integers(1, 2**32, 256, dtype=np.uint32)
@@ -75,7 +74,7 @@ def train(counts: np.ndarray, names: list[str]) -> LanguageModel:
     """Fit on rows of subword counts; a fifth of them sets temperature and threshold."""
     languages = tuple(sorted(set(names)))
     target = np.array([languages.index(n) for n in names])
-    average = counts / np.maximum(1, counts.sum(1, keepdims=True))
+    average = (counts / np.maximum(1, counts.sum(1, keepdims=True))).astype(np.float32)
     rng = np.random.default_rng(SEED)
     order = rng.permutation(len(target))
     held = order[: len(order) // CALIBRATION]
@@ -132,8 +131,13 @@ def fit(docs: DataFrame, may_learn: Column, text: str = "text", lang: str = "lan
     if not len(sample):
         return None
     rows = sorted(zip(sample["lang"].to_pylist(), sample["counts"].to_pylist()))
-    counts = np.stack([np.frombuffer(c, np.float32) for _, c in rows])
-    return train(counts, [n for n, _ in rows])
+    del sample
+    counts = np.empty((len(rows), BUCKETS), np.float32)
+    for i, (_, row) in enumerate(rows):
+        counts[i] = np.frombuffer(row, np.float32)
+    names = [n for n, _ in rows]
+    del rows
+    return train(counts, names)
 
 
 def identify(
