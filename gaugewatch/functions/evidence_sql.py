@@ -122,7 +122,7 @@ def _sample(t: EvidenceTables) -> str:
         "raw_points_sample", t.long, _WINDOW_INPUT,
         max_points_per_tag=str(MAX_SAMPLE_POINTS),
         total_points_by_tag=_rows(totals, tag_name=TAG, total_points="total"),
-        returned_points=f"(SELECT count(*) FROM ({first}))",
+        returned_points=f"(SELECT coalesce(sum(least(total, {MAX_SAMPLE_POINTS})), 0) FROM ({totals}))",
         points=_rows(first, tag_name=TAG, ts_utc=_utc(TS), value=VALUE),
     )
 

@@ -127,7 +127,8 @@ def near_incidents(long: DataFrame, incidents: DataFrame, context_seconds: int =
     """Readings of each incident's tag from ``context`` before its start to after its end (closed).
 
     Incidents are spread over the hours they reach into, so a reading is only compared with
-    incidents of its own tag and hour.
+    incidents of its own tag and hour. The least and greatest time of all of them are looked
+    up first, so the scan of the readings skips what lies outside.
     """
     context = F.expr(f"INTERVAL {context_seconds} SECONDS")
     hour = lambda ts: F.floor(F.unix_seconds(ts) / 3600)
@@ -137,8 +138,11 @@ def near_incidents(long: DataFrame, incidents: DataFrame, context_seconds: int =
         .withColumn("to_ts", F.col("incident_end") + context)
         .withColumn("hour", F.explode(F.sequence(hour(F.col("from_ts")), hour(F.col("to_ts")))))
     )
+    first = incidents.agg(F.min(F.col("incident_start") - context).alias("first")).scalar()
+    last = incidents.agg(F.max(F.col("incident_end") + context).alias("last")).scalar()
     return (
-        long.withColumn("hour", hour(F.col(TS)))
+        long.filter((F.col(TS) >= first) & (F.col(TS) <= last))
+        .withColumn("hour", hour(F.col(TS)))
         .join(reach, [TAG, "hour"])
         .filter((F.col(TS) >= F.col("from_ts")) & (F.col(TS) <= F.col("to_ts")))
         .drop("hour", "from_ts", "to_ts")
@@ -200,12 +204,10 @@ def threshold_context(
     long: DataFrame, requested: list[str], start: datetime, end: datetime, lower: float, upper: float
 ) -> DataFrame:
     """Extremes and counts beyond the given limits, per requested and stored tag."""
-    asked = _requests(long, requested)
-    return (
+    # Readings are counted by their tag first, so names are only matched once for each tag.
+    by_tag = (
         long.filter(half_open(F.col(TS), start, end))
-        .withColumn("tag_key", tag_key(F.col(TAG)))
-        .join(asked, "tag_key")
-        .groupBy("requested_tag", F.col(TAG).alias("matched_tag"))
+        .groupBy(F.col(TAG).alias("matched_tag"))
         .agg(
             *_extent(),
             F.min(VALUE).alias("min_value"),
@@ -214,6 +216,10 @@ def threshold_context(
             F.count_if(F.col(VALUE) < lower).alias("below_lower_threshold_count"),
             F.count_if(F.col(VALUE) > upper).alias("above_upper_threshold_count"),
         )
+        .withColumn("tag_key", tag_key(F.col("matched_tag")))
+    )
+    return (
+        by_tag.join(_requests(long, requested), "tag_key")
         .select(
             "requested_tag",
             "matched_tag",

@@ -31,10 +31,18 @@ def _watermark(incidents: DataFrame) -> Column:
     return incidents.agg(F.coalesce(F.max("update_ts"), ts_lit(NO_WATERMARK)).alias("seen")).scalar()
 
 
-def late_rows(log: DataFrame, incidents: DataFrame) -> DataFrame:
-    """Failed rows at or before the watermark that no incident covers: they are never merged."""
+def late_rows(log: DataFrame, incidents: DataFrame, whole: bool = False) -> DataFrame:
+    """Failed rows at or before the watermark that no incident touches.
+
+    With ``whole`` also those that an incident covers in part: all rows a merge by the
+    watermark alone would lose something of.
+    """
     old = log.filter(F.col("status") == "failed").filter(F.col("create_ts") <= _watermark(incidents))
-    covered = match_logs(incidents, old).select("log_run_id", *INCIDENT_KEYS, "window_start", "window_end")
+    covered = match_logs(incidents, old)
+    if whole:
+        inside = (F.col("window_start") >= F.col("incident_start")) & (F.col("window_end") <= F.col("incident_end"))
+        covered = covered.filter(inside)
+    covered = covered.select("log_run_id", *INCIDENT_KEYS, "window_start", "window_end")
     same = [old["run_id"] == covered["log_run_id"]]
     same += [old[name] == covered[name] for name in [*INCIDENT_KEYS, "window_start", "window_end"]]
     return old.join(covered, same, "left_anti")

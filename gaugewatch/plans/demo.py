@@ -11,13 +11,13 @@ from gaugewatch.config import FreshnessRule, OutlierRule, RunGrid, StuckValueRul
 from gaugewatch.functions.columns import local_text, tick, to_local
 from gaugewatch.functions.evidence_sql import EvidenceTables, register_functions
 from gaugewatch.functions.noise import add_noise, add_noise_keyed
-from gaugewatch.operators import evidence, incidents as inc, profile, report, reshape
+from gaugewatch.operators import derived, evidence, incidents as inc, profile, report, reshape
 from gaugewatch.operators.freshness import freshness
 from gaugewatch.operators.outlier import fenced_percentiles, iqr_fences, outlier
 from gaugewatch.operators.runs import tag_runs, window_extrema
 from gaugewatch.operators.stuck import stuck_value
 from gaugewatch.operators.trailing import fenced_history_percentiles
-from gaugewatch.plans.monitoring import monitor_history
+from gaugewatch.plans.monitoring import merge_arrivals, monitor_history
 from gaugewatch.schemas import MONITOR_LOG, TAG, THRESHOLD_FIELDS, TS, VALUE
 from gaugewatch.session import scratch_dir, stage
 from gaugewatch.sources.readings import map_fields
@@ -32,7 +32,7 @@ from gaugewatch.sources.testdata import (
     lineitem_wide,
     table,
 )
-from gaugewatch.streaming.monitors import StagedIncidents, incident_stream, session_approximation, stuck_value_stream
+from gaugewatch.streaming.monitors import StagedIncidents, WindowParts, incident_stream, session_approximation
 
 STATION, SOURCE = "demo station", "events"
 GRID = RunGrid.hourly(EVENTS_START, EVENTS_END)
@@ -188,19 +188,28 @@ def q_map_fields(spark, sf_dir):
 
 
 def q_add_noise(spark, sf_dir):
-    """Per tag: rows, rows with noise in bounds, rows whose noise a second draw repeats."""
+    """Per tag: rows, rows with noise in bounds, and whether most rows moved."""
     return _noise_check(events_long(spark, sf_dir), lambda df: add_noise(df))
 
 
 def q_add_noise_keyed(spark, sf_dir):
-    return _noise_check(events_long(spark, sf_dir), lambda df: add_noise_keyed(df, [TS, TAG]))
+    """The same, and rows whose noise comes out alike in another partitioning."""
+    noise = lambda df: add_noise_keyed(df, [TS, TAG])
+    return _noise_check(events_long(spark, sf_dir), noise, repeats=True)
 
 
-def _noise_check(long: DataFrame, noise) -> DataFrame:
+def _noise_check(long: DataFrame, noise, repeats: bool = False) -> DataFrame:
     both = noise(long.withColumn("clean", F.col(VALUE).cast("string")))
     clean = F.col("clean").cast("double")
     inside = (F.col(VALUE) >= clean) & (F.col(VALUE) <= clean * 1.02)
-    return both.groupBy(TAG).agg(F.count(F.lit(1)).alias("row_count"), F.count_if(inside).alias("rows_in_bounds"))
+    moved = F.count_if(F.col(VALUE) > clean) * 2 > F.count(F.lit(1))
+    checks = [F.count_if(inside).alias("rows_in_bounds"), moved.alias("mostly_moved")]
+    if repeats:
+        # Draw once more from the clean value; text columns are left alone.
+        both = both.withColumn("first", F.col(VALUE).cast("string")).withColumn(VALUE, clean)
+        both = noise(both.repartition(3, VALUE)).withColumn("alike", F.col(VALUE).cast("string") == F.col("first"))
+        checks.append(F.count_if("alike").alias("rows_alike"))
+    return both.groupBy(TAG).agg(F.count(F.lit(1)).alias("row_count"), *checks)
 
 
 # ---- rules -----------------------------------------------------------------------------------------
@@ -319,6 +328,13 @@ def q_late_rows(spark, sf_dir):
     return shown(inc.late_rows(log, stored).drop("observed_value"))
 
 
+def q_incident_merge_late(spark, sf_dir):
+    """The later half is stored first; merging brings in the earlier half, which arrives late."""
+    log = monitor_log(spark, sf_dir)
+    stored = stage(inc.merge_incidents(log.filter(F.col("create_ts") >= F.lit(str(SPLIT_AT)).cast("timestamp"))))
+    return shown(merge_arrivals(log, stored).drop("incident_id"))
+
+
 def q_recent_incidents(spark, sf_dir):
     rows = inc.recent_incidents(
         incident_table(spark, sf_dir), monitor_log(spark, sf_dir), feedback_table(spark, sf_dir), SOURCE
@@ -601,11 +617,42 @@ def q_local_time(spark, sf_dir):
     )
 
 
+# ---- derived measures ----------------------------------------------------------------------------
+
+
+def _flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines under the names of flow and pressure tags."""
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        F.col("l_quantity").alias("HP_STEAM_FLOW_ALL"),
+        (F.col("l_tax") * 100).alias("HP_GES_STEAM_SUPPLY"),
+        (F.col("l_discount") * 300).alias("HP_BRINE_FLOW"),
+        (F.col("l_extendedprice") / 100).alias("BRINE_FLOW_TO_REINJECTION"),
+        (F.col("l_quantity") * 2).alias("LP_STEAM_FLOW"),
+        (F.col("l_quantity") * 3).alias("Total_Turbine_Steam_Flow"),
+        (F.col("l_quantity") / 5).alias("Turbine_Hp_Chamber_Pressure"),
+        (F.col("l_discount") * 50 + 1).alias("Turbine_Lp_Chamber_Pressure"),
+        (F.col("l_tax") + 0.05).alias("Condenser_Pressure_A"),
+    )
+
+
+def q_derived_tags(spark, sf_dir):
+    flows = _flows(spark, sf_dir)
+    made = derived.derived_tags(flows)
+    return shown(made.select("l_orderkey", "l_linenumber", *derived.DERIVED), 6)
+
+
+def q_cross_check(spark, sf_dir):
+    made = derived.cross_check(_flows(spark, sf_dir), wells=("HP_BRINE_FLOW", "LP_STEAM_FLOW"), least_flow=10.0)
+    return shown(made.select("l_orderkey", "l_linenumber", *derived.TWO_PHASE, "spread", "relative_spread"), 6)
+
+
 # ---- streams ---------------------------------------------------------------------------------------
 
 
 def q_stream_stuck_value(spark, sf_dir):
-    """Readings arrive as a file stream; windows come out as the watermark passes them."""
+    """Readings arrive as a file stream; every window is there in the end, the last of each tag too."""
     table(spark, sf_dir, "events")
     readings = (
         spark.readStream.schema("event_id long, ts timestamp_ntz, user_id long, event_type string, value double")
@@ -613,22 +660,16 @@ def q_stream_stuck_value(spark, sf_dir):
         .parquet(sf_dir)
         .select(F.col("ts").cast("timestamp").alias(TS), F.col("event_type").alias(TAG), F.col("value").alias(VALUE))
     )
-    judged = stuck_value_stream(readings, STUCK, delay="0 seconds")
-    return shown(_finish(judged))
-
-
-def _finish(stream: DataFrame) -> DataFrame:
-    """Run the stream over what is there, into files of the shared folder."""
-    spark = stream.sparkSession
     base = f"{scratch_dir(spark)}/stream-{datetime.now():%Y%m%d%H%M%S%f}"
+    parts = WindowParts(spark, f"{base}/parts", STUCK)
     query = (
-        stream.writeStream.format("parquet")
+        parts.writer(readings)
         .option("checkpointLocation", f"{base}/checkpoint")
         .trigger(availableNow=True)
-        .start(f"{base}/out")
+        .start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    return shown(parts.read())
 
 
 def q_stream_incidents(spark, sf_dir):

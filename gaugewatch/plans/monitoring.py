@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gaugewatch.config import OutlierRule, RunGrid, Settings, StuckValueRule, hourly, station_named
 from gaugewatch.operators.freshness import freshness
-from gaugewatch.operators.incidents import merge_incidents
+from gaugewatch.operators.incidents import failed_since, late_rows, merge_incidents
 from gaugewatch.operators.outlier import outlier
 from gaugewatch.operators.reshape import resolve_tags, wide_to_long
 from gaugewatch.operators.runs import of_tags, to_log, window_extrema
@@ -82,11 +82,19 @@ def run_single(spark: SparkSession, settings: Settings, rule_type: str, run_dt:
     append_log(judged, settings.monitor_log_table)
 
 
-def run_merge(spark: SparkSession, settings: Settings) -> None:
-    """Merge the log rows that are newer than the incident table."""
+def merge_arrivals(log: DataFrame, incidents: DataFrame, with_late: bool = True) -> DataFrame:
+    """The incident table after merging newer log rows, and late ones unless they are to be left out."""
+    rows = failed_since(log, incidents)
+    if with_late:
+        rows = rows.unionByName(late_rows(log, incidents, whole=True))
+    return merge_incidents(rows, incidents, only_newer=False)
+
+
+def run_merge(spark: SparkSession, settings: Settings, with_late: bool = True) -> None:
+    """Merge the log rows that the incident table does not know yet."""
     store = IncidentStore(spark, settings.incident_table)
     store.ensure()
-    store.replace(merge_incidents(spark.table(settings.monitor_log_table), store.read()))
+    store.replace(merge_arrivals(spark.table(settings.monitor_log_table), store.read(), with_late))
 
 
 def run_freshness(

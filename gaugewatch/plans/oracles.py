@@ -20,6 +20,11 @@ _ITEM_READINGS = """readings AS (SELECT l_shipdate AS Pi_Timestamp, tag_name, ta
   UNPIVOT INCLUDE NULLS (tag_value FOR tag_name IN (l_quantity, l_extendedprice, l_discount, l_tax)))"""
 
 
+_FLOWS = """flows AS (SELECT l_orderkey, l_linenumber, l_quantity AS steam, l_tax * 100 AS supply, l_discount * 300 AS brine,
+  l_extendedprice / 100 AS reinjected, l_quantity * 2 AS lp_steam, l_quantity * 3 AS turbine, l_quantity / 5 AS hp_in,
+  l_discount * 50 + 1 AS lp_in, l_tax + 0.05::DOUBLE AS condenser FROM lineitem)"""
+
+
 def _grid(lookback: int, tags: str = _TAGS) -> str:
     return f"""grid AS (SELECT tag_name, run_no,
   TIMESTAMP '2024-01-01' + to_hours(run_no) AS window_end,
@@ -240,8 +245,8 @@ ORACLES: dict[str, str] = {
   CASE WHEN event_type = 'error' THEN NULL ELSE value END AS Net_Power,
   CASE WHEN event_type = 'click' THEN value END AS Vacuum_Pump_40_Current,
   value AS LP_STEAM_PRESSURE_2, NULL::DOUBLE AS Humidity FROM events""",
-    "add_noise": "SELECT event_type AS tag_name, count(*) AS row_count, count(*) AS rows_in_bounds FROM events GROUP BY 1",
-    "add_noise_keyed": "SELECT event_type AS tag_name, count(*) AS row_count, count(*) AS rows_in_bounds FROM events GROUP BY 1",
+    "add_noise": "SELECT event_type AS tag_name, count(*) AS row_count, count(*) AS rows_in_bounds, true AS mostly_moved FROM events GROUP BY 1",
+    "add_noise_keyed": "SELECT event_type AS tag_name, count(*) AS row_count, count(*) AS rows_in_bounds, true AS mostly_moved, count(*) AS rows_alike FROM events GROUP BY 1",
     "stuck_value_hourly": f"WITH {_LONG}, {_grid(60)}, {_stuck('stuck', 60, 3, 40.0, _ZERO)} SELECT {_HOURLY_RUN}, {_STUCK_COLUMNS} FROM stuck",
     "stuck_value_overlapping": f"WITH {_LONG}, {_grid(180)}, {_stuck('stuck', 180, 5, 60.0, chr(39) * 2)} SELECT {_HOURLY_RUN}, {_STUCK_COLUMNS} FROM stuck",
     "stuck_value_single": f"WITH {_LONG}, {_single_grid(180)}, {_stuck('stuck', 180, 5, 60.0, chr(39) * 2)} SELECT {_SINGLE_RUN}, {_STUCK_COLUMNS}, TIMESTAMP '{RUN_AT}' AS create_ts FROM stuck",
@@ -331,6 +336,20 @@ LEFT JOIN logs USING (incident_id) LEFT JOIN context USING (incident_id)""",
 agg AS (SELECT tag_name, window_start, window_start + INTERVAL 1 HOUR AS window_end, count(kept) AS valid_count,
   min(kept) AS min_value, max(kept) AS max_value FROM w GROUP BY ALL)
 SELECT *, CASE WHEN valid_count < 3 THEN 'skipped' WHEN max_value - min_value <= 40 THEN 'failed' ELSE 'pass' END AS status
-FROM agg WHERE window_end <= (SELECT max(ts) FROM events)""",
+FROM agg""",
+    "incident_merge_late": f"WITH {_INCIDENTS} SELECT * FROM ranges",
+    "derived_tags": f"""WITH {_FLOWS}, hp AS (SELECT *, steam - supply AS hp_flow,
+  CASE WHEN hp_in >= lp_in THEN 44.18 * sqrt(hp_in * hp_in - lp_in * lp_in) END AS hp_made,
+  CASE WHEN lp_in >= condenser THEN 355.45 * sqrt(lp_in * lp_in - condenser * condenser) END AS total_made FROM flows)
+SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, round(hp_flow, 6) + 0 AS HP_TURBINE_STEAM_FLOW,
+  round(hp_made, 6) + 0 AS HP_turbine_steam_flow_calculated, round(steam - hp_made, 6) + 0 AS GES_calculated,
+  round(total_made, 6) + 0 AS Total_turbine_steam_flow_calculated, round(total_made - hp_made, 6) + 0 AS LP_turbine_steam_flow_calculated FROM hp""",
+    "cross_check": f"""WITH {_FLOWS}, sums AS (SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber,
+  steam + brine AS a, CASE WHEN brine >= 10 THEN brine ELSE 0 END + CASE WHEN lp_steam >= 10 THEN lp_steam ELSE 0 END AS b,
+  steam + reinjected + lp_steam AS c, turbine + supply + reinjected AS d FROM flows)
+SELECT l_orderkey, l_linenumber, round(a, 6) AS HP_VENTURI_STEAM_plus_HP_BRINE, round(b, 6) AS Sum_of_wells,
+  round(c, 6) AS HP_VENTURI_STEAM_plus_LP_BRINE_plus_LP_STEAM, round(d, 6) AS TOTAL_TURBINE_FLOW_plus_GES_plus_LP_BRINE,
+  round(greatest(a, b, c, d) - least(a, b, c, d), 6) AS spread,
+  round((greatest(a, b, c, d) - least(a, b, c, d)) / nullif((a + b + c + d) / 4, 0), 6) AS relative_spread FROM sums""",
     "stream_incidents": f"WITH {_INCIDENTS} SELECT * FROM ranges",
 }

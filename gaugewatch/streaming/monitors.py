@@ -16,7 +16,7 @@ from gaugewatch.config import FreshnessRule, StuckValueRule
 from gaugewatch.functions.columns import blank_zero
 from gaugewatch.operators.freshness import freshness
 from gaugewatch.operators.incidents import MERGE_GAP_SECONDS, merge_incidents
-from gaugewatch.schemas import INCIDENT, INCIDENT_KEYS, TAG, TS, VALUE
+from gaugewatch.schemas import INCIDENT, INCIDENT_KEYS, LONG, TAG, TS, VALUE
 from gaugewatch.session import stage
 from gaugewatch.sources.tables import IncidentStore, append_log
 
@@ -27,7 +27,8 @@ def tumbling_extrema(
     """Count, min and max per tag and tumbling window.
 
     On a stream a window comes out once the watermark has passed its end; later readings
-    for it are dropped.
+    for it are dropped, and windows after the watermark stay open. :class:`WindowParts`
+    loses neither.
     """
     kept = blank_zero(F.col(TAG), F.col(VALUE), zero_filtered)
     timed = readings.withWatermark(TS, delay) if readings.isStreaming else readings
@@ -51,14 +52,52 @@ def stuck_value_stream(readings: DataFrame, rule: StuckValueRule, delay: str) ->
     A window without any reading of a tag produces no row on a stream; the batch rule
     reports it as skipped.
     """
+    return judge_windows(tumbling_extrema(readings, rule.lookback_minutes, delay, rule.zero_filtered_tags), rule)
+
+
+def judge_windows(windows: DataFrame, rule: StuckValueRule) -> DataFrame:
+    """The stuck-value status of windows that have their count, minimum and maximum."""
     usable = (F.col("valid_count") >= rule.min_expected_rows) & F.col("min_value").isNotNull()
     span = F.when(usable, F.col("max_value") - F.col("min_value"))
-    return tumbling_extrema(readings, rule.lookback_minutes, delay, rule.zero_filtered_tags).withColumn(
+    return windows.withColumn(
         "status",
         F.when(span.isNull(), "skipped").when(span <= rule.max_range, "failed").otherwise("pass"),
     )
 
 
+class WindowParts:
+    """Tumbling windows of a stream without a watermark: no reading comes too late for its window.
+
+    Each micro-batch leaves its counts, minima and maxima per tag and window in a folder of
+    its own number, so a replayed batch writes the same folder again. Windows are merged from
+    their parts when they are read; one that is still filling shows what it has so far.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, rule: StuckValueRule):
+        self.spark, self.folder, self.rule = spark, folder, rule
+
+    def _part(self, readings: DataFrame) -> DataFrame:
+        return tumbling_extrema(readings, self.rule.lookback_minutes, "0 seconds", self.rule.zero_filtered_tags)
+
+    def writer(self, readings: DataFrame) -> DataStreamWriter:
+        # A folder without rows lets the windows be read before the first batch.
+        empty = self._part(self.spark.createDataFrame([], LONG))
+        empty.write.mode("overwrite").parquet(f"{self.folder}/batch=-1")
+
+        def keep(batch: DataFrame, batch_id: int) -> None:
+            self._part(batch).write.mode("overwrite").parquet(f"{self.folder}/batch={batch_id}")
+
+        return readings.writeStream.foreachBatch(keep)
+
+    def read(self) -> DataFrame:
+        """The judged windows of all batches so far."""
+        windows = self.spark.read.parquet(self.folder).groupBy(TAG, "window_start", "window_end")
+        merged = windows.agg(
+            F.sum("valid_count").alias("valid_count"), F.min("min_value").alias("min_value"), F.max("max_value").alias("max_value")
+        )
+        return judge_windows(merged, self.rule)
+
+
 def incident_stream(
     log: DataFrame, read: Callable[[], DataFrame], replace: Callable[[DataFrame], None],
     gap_seconds: int = MERGE_GAP_SECONDS,
@@ -98,34 +137,43 @@ def _utc_now() -> datetime:
 
 
 def freshness_stream(
-    table: DataFrame,
+    spark: SparkSession,
+    read: Callable[[], DataFrame],
     rule: FreshnessRule,
     station: str,
     source_table: str,
     log_table: str,
     clock: Callable[[], datetime] = _utc_now,
+    every: str = "5 minutes",
 ) -> DataStreamWriter:
-    """Log the freshness of every micro-batch.
+    """Log the freshness of a table ``every`` so often, whether or not anything arrives.
 
-    Each batch is judged by its own newest time, so a batch of old rows counts as stale.
+    A timer drives it: each tick judges the newest time that ``read`` shows by then, so a dead
+    feed is reported, and old rows that come after newer ones change nothing.
     """
 
-    def check(batch: DataFrame, _batch_id: int) -> None:
+    def check(_tick: DataFrame, _batch_id: int) -> None:
         now = clock()
-        append_log(freshness(batch, rule, now, station, source_table, now), log_table)
+        append_log(freshness(read(), rule, now, station, source_table, now), log_table)
 
-    return table.writeStream.foreachBatch(check)
+    ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
+    return ticks.writeStream.foreachBatch(check).trigger(processingTime=every)
 
 
-def session_approximation(log: DataFrame, window_seconds: int, gap_seconds: int = MERGE_GAP_SECONDS) -> DataFrame:
+def session_approximation(
+    log: DataFrame, window_seconds: int, gap_seconds: int = MERGE_GAP_SECONDS, delay: str | None = None
+) -> DataFrame:
     """Incident ranges by session window, for logs whose windows all last ``window_seconds``.
 
     A session measures from window start to window start and lasts one gap beyond the last
     start, which is taken off again. Windows exactly ``gap_seconds`` apart stay separate
-    here but belong together in the batch merge.
+    here but belong together in the batch merge. A stream has to say how late rows may be
+    (``delay``); it drops later ones.
     """
     failed = log.filter(F.col("status") == "failed")
-    timed = failed.withWatermark("window_start", "0 seconds") if failed.isStreaming else failed
+    if failed.isStreaming and delay is None:
+        raise ValueError("a stream needs a delay, after which rows no longer count")
+    timed = failed.withWatermark("window_start", delay) if failed.isStreaming else failed
     reach = f"{window_seconds + gap_seconds} seconds"
     return (
         timed.groupBy(*INCIDENT_KEYS, F.session_window("window_start", reach).alias("s"))

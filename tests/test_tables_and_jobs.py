@@ -260,10 +260,9 @@ def test_stuck_stream_equals_batch_windows(spark, settings, tmp_path):
 
 def test_freshness_stream(spark, tmp_path):
     rows = spark.createDataFrame([(datetime(2024, 1, 1),)], f"{TS} timestamp")
-    rows.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    clock = lambda: datetime(2024, 1, 1, 2)
     query = (
-        monitors.freshness_stream(stream, FreshnessRule(30), "st", "src", "stream_fresh", lambda: datetime(2024, 1, 1, 2))
+        monitors.freshness_stream(spark, lambda: rows, FreshnessRule(30), "st", "src", "stream_fresh", clock)
         .option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     )
     query.awaitTermination()
