@@ -118,7 +118,8 @@ def mix(
         )
     )
     targets = source_targets(rows, weights, share, most)
-    passes = F.floor(F.col("target") / F.col("source_size"))
+    # A source without words gives no whole pass; a plain division by its size would raise.
+    passes = F.floor(F.try_divide("target", "source_size"))
     targets = targets.withColumn("passes", F.coalesce(passes, F.lit(0)).cast("long"))
     need = F.floor("target").cast("long") - F.col("passes") * F.col("source_size")
     targets = stage(targets.withColumn("need", need))

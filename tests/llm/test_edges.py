@@ -110,6 +110,14 @@ def test_mixing(docs):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_of_a_source_without_words(spark):
+    ship(spark)
+    rows = [(1, None, "empty"), (2, "", "empty"), (3, " \t\n", "empty"), (4, "one two three", "a"), (5, "four five", "b")]
+    found = by_id(mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")), "size", "source_size", "taken")
+    assert found[1] == found[2] == found[3] == (0, 0, 0)
+    assert found[4][:2] == (3, 3) and found[5][:2] == (2, 2) and found[4][2] + found[5][2] > 0
+
+
 def test_toxicity(spark, docs):
     bad = [(100 + i, "you are a moron and more words here", 1) for i in range(40)]
     fine = [(200 + i, "a plain text about the weather today", 0) for i in range(40)]
