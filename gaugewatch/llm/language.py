@@ -2,7 +2,9 @@
 
 A text is the average of the embeddings of its byte n-grams, looked up by hash. Embeddings and
 the softmax are trained together by stochastic gradient descent in numpy, on a bounded sample.
-A temperature makes the scores honest and a threshold rejects what no language claims.
+A temperature makes the scores honest. A text is rejected if its score is below nearly all
+held-out scores, or if the subwords of its language's training texts hardly cover it: a
+softmax over few languages is often sure of texts that are in none of them.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 BUCKETS, WIDTH, GRAMS = 4096, 16, (1, 2, 3, 4)
 #: The sample: this many rows per language are expected, each whole; a fifth calibrates.
 ROWS_PER_LANGUAGE, CALIBRATION = 500, 5
+#: The quantile of what held-out texts reach below which a text is rejected.
+QUANTILE = 0.005
 EPOCHS, BATCH, RATE, SEED = 30, 64, 0.5, 11
 #: Bytes of one text hashed at a time.
 CHUNK = 1 << 20
@@ -58,12 +62,23 @@ class LanguageModel:
     bias: np.ndarray
     temperature: float
     threshold: float
+    #: By language: log of how often each subword occurs in its training texts, against all subwords alike.
+    typical: np.ndarray
+    #: By language: the least mean of these under which a text is covered.
+    floors: np.ndarray
 
     def scores(self, counts: np.ndarray) -> np.ndarray:
         logits = (counts @ self.claims / max(1, counts.sum()) + self.bias) / self.temperature
         powers = np.exp(logits - logits.max())
         return powers / powers.sum()
 
+    def judge(self, counts: np.ndarray) -> tuple[str, float, bool]:
+        """Language, score and whether the text is rejected."""
+        found = self.scores(counts)
+        best = int(found.argmax())
+        cover = float(counts @ self.typical[best] / max(1, counts.sum()))
+        return self.languages[best], float(found[best]), bool(found[best] < self.threshold or cover < self.floors[best])
+
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
     powers = np.exp(logits - logits.max(1, keepdims=True))
@@ -71,7 +86,12 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
 
 
 def train(counts: np.ndarray, names: list[str]) -> LanguageModel:
-    """Fit on rows of subword counts; a fifth of them sets temperature and threshold."""
+    """Fit on rows of subword counts; a fifth of them sets temperature, threshold and floors.
+
+    The threshold is the ``QUANTILE`` of the scores of held-out texts that are read right, and
+    half of the least if they are too few for it. The floor of a language is the same quantile
+    of how well its held-out texts are covered, less log 2; without such texts it has none.
+    """
     languages = tuple(sorted(set(names)))
     target = np.array([languages.index(n) for n in names])
     average = (counts / np.maximum(1, counts.sum(1, keepdims=True))).astype(np.float32)
@@ -101,9 +121,17 @@ def train(counts: np.ndarray, names: list[str]) -> LanguageModel:
     temperature = min((0.25, 0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 3.0, 4.0), key=loss)
     scores = _softmax(logits / temperature)
     right = scores.argmax(1) == truth
-    # No calibration text that is read right may be rejected; half that score leaves room.
-    threshold = scores.max(1)[right].min() / 2 if right.any() else 0.0
-    return LanguageModel(languages, claims.astype(np.float32), bias, float(temperature), float(threshold))
+    best = scores.max(1)[right]
+    few = len(best) * QUANTILE < 1
+    threshold = 0.0 if not len(best) else best.min() / 2 if few else np.quantile(best, QUANTILE, method="lower")
+    seen = np.stack([counts[rows[target[rows] == i]].sum(0, dtype=np.float64) for i in range(len(languages))]) + 0.5
+    typical = np.log(BUCKETS * seen / seen.sum(1, keepdims=True)).astype(np.float32)
+    floors = np.full(len(languages), -np.inf)
+    for i in range(len(languages)):
+        own = average[used[right & (truth == i)]] @ typical[i]
+        if len(own):
+            floors[i] = np.quantile(own, QUANTILE, method="lower") - np.log(2)
+    return LanguageModel(languages, claims.astype(np.float32), bias, float(temperature), float(threshold), typical, floors)
 
 
 def fit(docs: DataFrame, may_learn: Column, text: str = "text", lang: str = "lang") -> LanguageModel | None:
@@ -147,7 +175,8 @@ def identify(
 
     A text that is null or has no letter, and every text without a model, is ``und`` with
     score 0 and rejected. Other texts get the likeliest language and its calibrated score;
-    ``rejected`` if the score is below the model's threshold. No shuffle; the model's size is
+    ``rejected`` if the score is below the model's threshold or the language's subwords cover
+    too little of the text. No shuffle; the model's size is
     fixed by ``BUCKETS`` and the number of languages.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -162,10 +191,8 @@ def identify(
                 if own is None or content is None:
                     names.append(UNKNOWN), scores.append(0.0), rejected.append(True)
                     continue
-                found = own.scores(subword_counts(content))
-                best = int(found.argmax())
-                names.append(own.languages[best]), scores.append(float(found[best]))
-                rejected.append(bool(found[best] < own.threshold))
+                name, score, out = own.judge(subword_counts(content))
+                names.append(name), scores.append(score), rejected.append(out)
             made = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*kept, *made], [*batch.schema.names[:-1], "lang_pred", "score", "rejected"])
 

@@ -121,6 +121,26 @@ def test_language_model_learns_and_rejects():
     assert 0 < model.threshold < 1
 
 
+def test_unseen_scripts_and_random_letters_are_rejected():
+    rng = np.random.default_rng(7)
+    parts = {
+        "de": "der die das und sch ein ich en er te gen lich ung stei ber pf tz zu".split(),
+        "en": "the and of to ing tion er th re nd at on es wh ough ly ed it".split(),
+        "es": "los de ción que es ar as el ado mente ía os una por rr ez ida con".split(),
+    }
+    words = lambda p: " ".join("".join(rng.choice(p, rng.integers(1, 4))) for _ in range(rng.integers(20, 80)))
+    counts_of = lambda texts: np.stack([language.subword_counts(t).astype(np.float32) for t in texts])
+    names = [n for n in parts for _ in range(400)]
+    model = language.train(counts_of([words(parts[n]) for n in names]), names)
+    fresh = [n for n in parts for _ in range(100)]
+    judged = [model.judge(c) for c in counts_of([words(parts[n]) for n in fresh])]
+    assert sum(name == n and not out for (name, _, out), n in zip(judged, fresh)) >= 0.97 * len(fresh)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    odd = ["".join(rng.choice([*letters, " "], 300)) for _ in range(50)]
+    odd += ["Привет, это текст о погоде и природе. " * 4, "Η γλώσσα είναι πολύ όμορφη", "今天天气很好我们去公园散步吧", "qzx"]
+    assert all(model.judge(c)[2] for c in counts_of(odd))
+
+
 def test_isotonic_rises_and_keeps_means():
     knots, values = toxicity.isotonic(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]))
     assert (np.diff(values) >= 0).all() and (np.diff(knots) >= 0).all()
