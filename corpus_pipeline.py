@@ -8,10 +8,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gaugewatch.llm import decontaminate, jaccard, language, mixing, secret_scan
-from gaugewatch.llm.common import bucket_of, ship, table
+from gaugewatch.llm.common import bucket_of, row_key, ship, stage, table
 from gaugewatch.session import scratch_dir, use_utc
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """whole (all columns), doc_id, text and row, a key by which stages decide: identifiers may be null or repeat."""
+    return docs.select(F.struct(*docs.columns).alias("whole"), "doc_id", "text", row_key(docs.columns).alias("row"))
+
+
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go whose text is null, has no letter, or is claimed by no language."""
     model = language.fit(docs, F.coalesce(bucket_of("doc_id", 4) != 2, F.lit(True)))
@@ -22,28 +27,37 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies (five words, 0.8) the document of least identifier stays."""
-    found = jaccard.similarity_components(docs, n=5, percent=80)
-    copies = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    # Rows that repeat one identifier are copies too: one of them stays.
-    kept = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
-    named = kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return named.unionByName(kept.where(F.col("doc_id").isNull()))
+    """Of each component of near copies (five words, 0.8) the row of least identifier stays, nulls last.
+
+    Rows that agree in all columns are one; others that share an identifier go by their texts.
+    """
+    rows = keyed(docs).withColumn("row", F.xxhash64("row"))
+    found = jaccard.similarity_components(rows.select("row", "text"), n=5, percent=80, doc_id="row")
+    copies = found.where(F.col("row") != F.col("component_id")).select("row", "component_id").distinct()
+    heads = copies.select(F.col("component_id").alias("row"), "component_id").distinct()
+    members = stage(copies.union(heads))
+    ranked = rows.select("row", "doc_id").join(members, "row")
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    least = ranked.groupBy("component_id").agg(F.min(first)["row"].alias("least"))
+    gone = stage(members.join(least, "component_id").where(F.col("row") != F.col("least")).select("row"))
+    return rows.join(gone, "row", "left_anti").dropDuplicates(["row"]).select("whole.*")
 
 
 def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    dirty = found.where("contaminated").select("doc_id").distinct()
-    return docs.join(dirty, "doc_id", "left_anti").select(*docs.columns)
+    rows = keyed(docs)
+    found = decontaminate.contamination(rows.select("row", "text"), table(spark, sf_dir, "benchmark"), doc_id="row")
+    dirty = found.where("contaminated").select("row").distinct()
+    return rows.join(dirty, "row", "left_anti").select("whole.*")
 
 
 def drop_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a secret was found go."""
-    found, _ = secret_scan.scan_history(docs)
+    rows = keyed(docs)
+    found, _ = secret_scan.scan_history(rows.select("row", "text"), path="row")
     kinds = [F.size(rule.kind) > 0 for rule in secret_scan.RULES]
-    leaking = found.where(kinds[0] | kinds[1] | kinds[2]).select(F.col("path").alias("doc_id")).distinct()
-    return docs.join(leaking, "doc_id", "left_anti").select(*docs.columns)
+    leaking = found.where(kinds[0] | kinds[1] | kinds[2]).select(F.col("path").alias("row")).distinct()
+    return rows.join(leaking, "row", "left_anti").select("whole.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

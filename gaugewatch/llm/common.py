@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 import gaugewatch
 from gaugewatch.session import scratch_dir, use_utc
 
-__all__ = ["ascii_lower", "bucket_of", "only", "ship", "stage", "table"]
+__all__ = ["ascii_lower", "bucket_of", "only", "row_key", "ship", "stage", "table"]
 
 _shipped: set[str] = set()
 
@@ -58,6 +58,13 @@ def bucket_of(id_column: str, parts: int) -> Column:
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % parts
 
 
+def row_key(columns: list[str]) -> Column:
+    """SHA-256 of a row's ``columns``, nulls told from values: equal rows only have equal keys, and it is never null."""
+    shown = [F.col(c).cast("string") for c in columns]
+    told = [F.coalesce(F.concat(F.length(s).cast("string"), F.lit(":"), s), F.lit("-")) for s in shown]
+    return F.sha2(F.concat_ws(",", *told), 256)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; other letters stay."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gaugewatch.llm.common import stage
+from gaugewatch.llm.common import row_key, stage
 
 #: Words of a window, and words of a shard of documents.
 WINDOW, SHARD_WORDS = 10, 2_000_000
@@ -166,13 +166,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated for every row of ``docs``.
 
     A word is hit if it lies under any occurrence of a benchmark window. Null and empty texts
-    have no words and are clean, as is everything if the benchmark has no words. A row without
-    identifier is not looked up and counts as clean. Benchmark items of one identifier count
-    once. Occurrences gather per document only, where the document's length bounds them.
+    have no words and are clean, as is everything if the benchmark has no words. Every row is
+    judged by its own text, also where identifiers are null or repeat. Benchmark items of one
+    identifier count once. Occurrences gather per identifier and text only, where the text's
+    length bounds them.
     """
     windows = stage(benchmark_windows(benchmark))
-    occurrences, counted = find_windows(docs, windows, doc_id, text)
-    hits = occurrences.where(F.col("doc").isNotNull())
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = rows.select(F.struct("doc_id", row_key(["doc_id", "text"]).alias("row")).alias("doc"), "text")
+    occurrences, counted = find_windows(rows, windows, "doc", "text")
+    hits = occurrences.withColumn("doc", F.col("doc.row"))
+    counted = counted.select("doc.doc_id", F.col("doc.row").alias("doc"), "n_words")
     spans = hits.groupBy("doc").agg(F.collect_set(F.struct("start", "length")).alias("starts"))
     spans = spans.select("doc", covered("starts").alias("n_hit"))
     items = hits.select("doc", "window").distinct().join(windows.select("window", "item_id"), "window")
@@ -181,7 +185,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     all_rows = counted.join(found, F.col("doc") == F.col("hit_doc"), "left")
     none = F.array().cast("array<string>")
     return all_rows.select(
-        F.col("doc").alias(doc_id),
+        F.col("doc_id").alias(doc_id),
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.size(F.coalesce("items", none)).cast("long").alias("n_items"),
