@@ -11,7 +11,9 @@ is counted exactly.
 Equal sets are one row from the start. Each n-gram's rows first meet the row of least
 identifier only; whatever links joins that row's component, and only rows that are still in
 different components meet each other. So a large group of near copies costs its size, not its
-square, unless its members really fall apart.
+square, unless its members really fall apart. This gives components only: links inside a
+component are skipped. ``similarity_links`` lists them all, which in a group of different near
+copies are as many as its pairs.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gaugewatch.llm.common import only, stage
+from gaugewatch.llm.common import only, row_key, stage
 
 #: ASCII letters in lower case; blank, tab, line feed, vertical tab, form feed and return split words.
 WORD_BYTES = bytes(32 if b in (32, 9, 10, 11, 12, 13) else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -183,6 +185,71 @@ def _labelled(found: DataFrame) -> DataFrame:
     return stage(found.union(found.select(F.col("component").alias("doc"), "component")).distinct())
 
 
+def candidates(rows: DataFrame, percent: int, also: Column | None = None) -> DataFrame:
+    """The pairs (a, b) that the bounds leave, a below b, of staged rows doc, shingle, size, s0, s1, ...
+
+    ``also`` is one more condition on the sides ``x`` and ``y``.
+    """
+    x, y = rows.alias("x"), rows.alias("y")
+    meet = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.doc") < F.col("y.doc")) & may_link("x", "y", percent)
+    met = x.join(y, meet if also is None else meet & also).groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
+    met = met.agg(F.count("*").alias("shared"), F.min("x.size").alias("size_a"), F.min("y.size").alias("size_b"))
+    least = F.ceil(F.least("size_a", "size_b") * percent / 100)
+    return stage(met.where(F.col("shared") >= F.least(F.lit(SHARED), least)).select("a", "b"))
+
+
+def similarity_links(
+    docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text"
+) -> tuple[DataFrame, DataFrame]:
+    """(every link between different shingle sets; what each row of ``docs`` links to).
+
+    Links are set_a, set_b, doc_a, doc_b, rows_a and rows_b, once for each pair: the sets'
+    keys, their least identifiers and how many rows hold them. Rows are doc_id, n_shingles, set
+    and n_links, the number of other rows that the row's text links with, rows of an equal set
+    included. A row without identifier, or without words, is in no set and has no links.
+    Linking is that of ``similarity_components``; reruns give the same keys.
+    """
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    texts = texts.withColumn("doc", F.when(F.col("doc_id").isNotNull(), F.xxhash64(row_key(["doc_id", "text"]))))
+    # The identifiers of the keys; rows that agree in identifier and text have one key.
+    ids = stage(texts.select("doc", "doc_id").where(F.col("doc").isNotNull()).distinct())
+    rows = incidence(texts, n, percent)
+    named = rows.where(F.col("doc").isNotNull() & (F.col("size") > 0))
+    sets = named.join(ids, "doc").groupBy("same").agg(
+        F.min("doc").alias("set"), F.min("doc_id").alias("least_id"), F.count("*").alias("rows")
+    )
+    sets = stage(sets)
+    keys = sets.select("same", F.col("set").alias("doc"))
+    own = named.join(keys, ["same", "doc"], "left_semi").dropDuplicates(["doc"])
+    sketches = [F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_WORDS)]
+    entries = own.select("doc", "size", *sketches, F.explode("prefix").alias("shingle"))
+    several = entries.groupBy("shingle").agg(F.count("*").alias("rows")).where(F.col("rows") > 1)
+    entries = stage(entries.join(several, "shingle", "left_semi"))
+    distinct = texts.select("doc", "text").where(F.col("doc").isNotNull()).join(keys.select("doc"), "doc", "left_semi")
+    pairs = linked(candidates(entries, percent), distinct.dropDuplicates(["doc"]), n, percent)
+
+    def side(name: str) -> DataFrame:
+        return sets.select(F.col("set").alias(name), F.col("least_id").alias(f"doc_{name}"), F.col("rows").alias(f"rows_{name}"))
+
+    links = pairs.join(side("a"), "a").join(side("b"), "b")
+    links = stage(
+        links.select(F.col("a").alias("set_a"), F.col("b").alias("set_b"), "doc_a", "doc_b", "rows_a", "rows_b")
+    )
+    ends = links.select(F.col("set_a").alias("set"), F.col("rows_b").alias("linked"))
+    ends = ends.union(links.select(F.col("set_b").alias("set"), F.col("rows_a").alias("linked")))
+    counted = sets.join(ends.groupBy("set").agg(F.sum("linked").alias("linked")), "set", "left")
+    counted = counted.select("same", "set", (F.col("rows") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    # The digest of a row without identifier meets no set.
+    same = F.when(F.col("doc").isNotNull() & (F.col("size") > 0), F.col("same"))
+    out = rows.withColumn("same", same).join(counted, "same", "left").join(ids, "doc", "left")
+    return links, out.select(
+        F.col("doc_id").alias(doc_id),
+        F.col("size").alias("n_shingles"),
+        "set",
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+    )
+
+
 def similarity_components(
     docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -226,17 +293,7 @@ def similarity_components(
     several = open_rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     several = several.where(F.col("low") != F.col("high"))
     apart = stage(open_rows.join(several, "shingle", "left_semi").join(sketched, "doc"))
-    x, y = apart.alias("x"), apart.alias("y")
-    meet = (
-        (F.col("x.shingle") == F.col("y.shingle"))
-        & (F.col("x.doc") < F.col("y.doc"))
-        & (F.col("x.component") != F.col("y.component"))
-        & may_link("x", "y", percent)
-    )
-    met = x.join(y, meet).groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
-    met = met.agg(F.count("*").alias("shared"), F.min("x.size").alias("size_a"), F.min("y.size").alias("size_b"))
-    least = F.ceil(F.least("size_a", "size_b") * percent / 100)
-    rest = stage(met.where(F.col("shared") >= F.least(F.lit(SHARED), least)).select("a", "b"))
+    rest = candidates(apart, percent, F.col("x.component") != F.col("y.component"))
     links = links.union(linked(rest, texts, n, percent))
     found = _labelled(components(links))
 
