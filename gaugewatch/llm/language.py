@@ -14,12 +14,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Hash buckets of subwords, embedding width, n-gram lengths in bytes.
 BUCKETS, WIDTH, GRAMS = 4096, 16, (1, 2, 3, 4)
-#: The sample: this many rows per language are expected, each whole; a fifth calibrates.
-ROWS_PER_LANGUAGE, CALIBRATION = 500, 5
+#: The sample: this many different texts per language at most, each whole; a fifth calibrates.
+ROWS_PER_LANGUAGE, CALIBRATION = 1500, 5
 #: The quantile of what held-out texts reach below which a text is rejected.
 QUANTILE = 0.005
 EPOCHS, BATCH, RATE, SEED = 30, 64, 0.5, 11
@@ -137,18 +137,22 @@ def train(counts: np.ndarray, names: list[str]) -> LanguageModel:
 def fit(docs: DataFrame, may_learn: Column, text: str = "text", lang: str = "lang") -> LanguageModel | None:
     """A model from the rows where ``may_learn`` holds and text and language are there; None without such rows.
 
-    Rows are drawn by a hash of the text with one rate per language, so that about
-    ``ROWS_PER_LANGUAGE`` of each are expected; the driver gets their subword counts only.
+    Drawn are the ``ROWS_PER_LANGUAGE`` texts of least hash of each language, or all if there
+    are fewer; copies count once. The driver gets their subword counts only.
     """
     usual = docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"), may_learn.alias("may"))
     usual = usual.where(F.col("may") & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    sizes = {row["lang"]: row["count"] for row in usual.groupBy("lang").count().collect()}
-    if not sizes:
+    usual = usual.withColumn("place", F.xxhash64("text"))
+    # Few rows of each language leave a task before they meet in the language's own.
+    places = usual.select("lang", "place").distinct()
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
+    chosen = places.withColumn("turn", turn).where(F.col("turn") <= ROWS_PER_LANGUAGE)
+    bounds = {row["lang"]: row["last"] for row in chosen.groupBy("lang").agg(F.max("place").alias("last")).collect()}
+    if not bounds:
         return None
-    parts = 10**6
-    # A map of one entry per language: the rate at which its rows are drawn.
-    rates = F.create_map(*[F.lit(x) for n, size in sizes.items() for x in (n, min(parts, ROWS_PER_LANGUAGE * parts // size))])
-    drawn = usual.where(F.pmod(F.xxhash64("text"), F.lit(parts)) < rates[F.col("lang")])
+    # A map of one entry per language: the last place drawn.
+    last = F.create_map(*[F.lit(x) for entry in bounds.items() for x in entry])
+    drawn = usual.where(F.col("place") <= last[F.col("lang")]).dropDuplicates(["lang", "place"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
