@@ -70,15 +70,10 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-#: Rows of identifiers that are sent to every executor; beyond, both sides are shuffled.
-BROADCAST_ROWS = 2_000_000
-
-
 def only(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """``rows`` whose ``key`` is in the staged, distinct column ``key`` of ``ids``.
 
-    Up to ``BROADCAST_ROWS`` identifiers, counted first, go to the rows, so long texts stay
-    where they are; more meet them in a shuffle.
+    Staged identifiers have a known size, by which the optimizer sends them to the rows
+    (``spark.sql.autoBroadcastJoinThreshold``), so long texts stay where they are, or shuffles both.
     """
-    wanted = ids.select(key)
-    return rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, key, "left_semi")
+    return rows.join(ids.select(key), key, "left_semi")

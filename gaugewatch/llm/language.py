@@ -9,6 +9,7 @@ softmax over few languages is often sure of texts that are in none of them.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,10 +17,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from gaugewatch.llm.common import stage
+
 #: Hash buckets of subwords, embedding width, n-gram lengths in bytes.
 BUCKETS, WIDTH, GRAMS = 4096, 16, (1, 2, 3, 4)
 #: The sample: this many different texts per language at most, each whole; a fifth calibrates.
 ROWS_PER_LANGUAGE, CALIBRATION = 1500, 5
+#: Sample texts of all languages together, and languages learned at most: those with the most
+#: sample texts, then the first by name. Fewer texts per language are drawn if there are many.
+SAMPLE_ROWS, LANGUAGES = 8000, 200
 #: The quantile of what held-out texts reach below which a text is rejected.
 QUANTILE = 0.005
 EPOCHS, BATCH, RATE, SEED = 30, 64, 0.5, 11
@@ -88,17 +94,20 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
 def train(counts: np.ndarray, names: list[str]) -> LanguageModel:
     """Fit on rows of subword counts; a fifth of them sets temperature, threshold and floors.
 
+    Real-numbered ``counts`` are turned into shares in place: the sample is held once.
     The threshold is the ``QUANTILE`` of the scores of held-out texts that are read right, and
     half of the least if they are too few for it. The floor of a language is the same quantile
     of how well its held-out texts are covered, less log 2; without such texts it has none.
     """
     languages = tuple(sorted(set(names)))
     target = np.array([languages.index(n) for n in names])
-    average = (counts / np.maximum(1, counts.sum(1, keepdims=True))).astype(np.float32)
     rng = np.random.default_rng(SEED)
     order = rng.permutation(len(target))
     held = order[: len(order) // CALIBRATION]
     rows = order[len(order) // CALIBRATION :]
+    seen = np.stack([counts[rows[target[rows] == i]].sum(0, dtype=np.float64) for i in range(len(languages))]) + 0.5
+    average = np.asarray(counts, np.float32)
+    average /= np.maximum(1, average.sum(1, keepdims=True))
     embeddings = rng.normal(0, 0.1, (BUCKETS, WIDTH))
     weights, bias = rng.normal(0, 0.1, (WIDTH, len(languages))), np.zeros(len(languages))
     for epoch in range(EPOCHS):
@@ -124,7 +133,6 @@ def train(counts: np.ndarray, names: list[str]) -> LanguageModel:
     best = scores.max(1)[right]
     few = len(best) * QUANTILE < 1
     threshold = 0.0 if not len(best) else best.min() / 2 if few else np.quantile(best, QUANTILE, method="lower")
-    seen = np.stack([counts[rows[target[rows] == i]].sum(0, dtype=np.float64) for i in range(len(languages))]) + 0.5
     typical = np.log(BUCKETS * seen / seen.sum(1, keepdims=True)).astype(np.float32)
     floors = np.full(len(languages), -np.inf)
     for i in range(len(languages)):
@@ -138,7 +146,8 @@ def fit(docs: DataFrame, may_learn: Column, text: str = "text", lang: str = "lan
     """A model from the rows where ``may_learn`` holds and text and language are there; None without such rows.
 
     Drawn are the ``ROWS_PER_LANGUAGE`` texts of least hash of each language, or all if there
-    are fewer; copies count once. The driver gets their subword counts only.
+    are fewer; copies count once. ``SAMPLE_ROWS`` and ``LANGUAGES`` bound them together, however
+    many values ``lang`` has. The driver gets their subword counts only, packed.
     """
     usual = docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"), may_learn.alias("may"))
     usual = usual.where(F.col("may") & F.col("text").isNotNull() & F.col("lang").isNotNull())
@@ -146,30 +155,31 @@ def fit(docs: DataFrame, may_learn: Column, text: str = "text", lang: str = "lan
     # Few rows of each language leave a task before they meet in the language's own.
     places = usual.select("lang", "place").distinct()
     turn = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
-    chosen = places.withColumn("turn", turn).where(F.col("turn") <= ROWS_PER_LANGUAGE)
-    bounds = {row["lang"]: row["last"] for row in chosen.groupBy("lang").agg(F.max("place").alias("last")).collect()}
-    if not bounds:
+    chosen = stage(places.withColumn("turn", turn).where(F.col("turn") <= ROWS_PER_LANGUAGE))
+    largest = chosen.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    learned = [row["lang"] for row in largest.collect()]
+    if not learned:
         return None
-    # A map of one entry per language: the last place drawn.
+    each = max(1, min(ROWS_PER_LANGUAGE, SAMPLE_ROWS // len(learned)))
+    drawn = chosen.where((F.col("turn") <= each) & F.col("lang").isin(learned))
+    bounds = {row["lang"]: row["last"] for row in drawn.groupBy("lang").agg(F.max("place").alias("last")).collect()}
+    # A map of one entry per language: the last place drawn. Other languages have none.
     last = F.create_map(*[F.lit(x) for entry in bounds.items() for x in entry])
-    drawn = usual.where(F.col("place") <= last[F.col("lang")]).dropDuplicates(["lang", "place"])
+    sample = usual.where(F.col("place") <= F.try_element_at(last, F.col("lang"))).dropDuplicates(["lang", "place"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [subword_counts(t.as_py()).astype(np.float32).tobytes() for t in batch["text"]]
+            rows = [zlib.compress(subword_counts(t.as_py()).astype("<u4").tobytes(), 1) for t in batch["text"]]
             yield pa.record_batch([batch["lang"], pa.array(rows, pa.binary())], ["lang", "counts"])
 
-    sample = drawn.select("text", "lang").mapInArrow(counted, "lang string, counts binary").toArrow()
-    if not len(sample):
+    packed = sample.select("text", "lang").mapInArrow(counted, "lang string, counts binary").toArrow()
+    if not len(packed):
         return None
-    rows = sorted(zip(sample["lang"].to_pylist(), sample["counts"].to_pylist()))
-    del sample
-    counts = np.empty((len(rows), BUCKETS), np.float32)
-    for i, (_, row) in enumerate(rows):
-        counts[i] = np.frombuffer(row, np.float32)
-    names = [n for n, _ in rows]
-    del rows
-    return train(counts, names)
+    packed = packed.sort_by([("lang", "ascending"), ("counts", "ascending")])
+    counts = np.empty((len(packed), BUCKETS), np.float32)
+    for i, row in enumerate(packed["counts"]):
+        counts[i] = np.frombuffer(zlib.decompress(row.as_buffer()), "<u4")
+    return train(counts, packed["lang"].to_pylist())
 
 
 def identify(

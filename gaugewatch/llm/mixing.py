@@ -98,8 +98,9 @@ def mix(
     doc_id: str = "doc_id",
     text: str = "text",
     source: str = "source",
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """doc_id, size, source_size, target and taken for every row of ``docs``.
+    """Columns ``keep``, doc_id, size, source_size, target and taken for every row of ``docs``.
 
     ``taken`` counts words, repeats included: each document gives the whole passes its source
     needs, those below the source's threshold one pass more, and the document at the threshold
@@ -109,14 +110,14 @@ def mix(
     null source is a source of its own, a null identifier an identifier of its own. Reruns
     and other partitionings give the same result. An empty table gives no rows.
     """
-    rows = stage(
-        docs.select(
-            F.col(doc_id).alias("doc_id"),
-            F.col(source).cast("string").alias("source"),
-            words_in(F.col(text).cast("string")).alias("size"),
-            place(F.col(doc_id)).alias("place"),
-        )
+    whole = docs.select(
+        *keep,
+        F.col(doc_id).alias("doc_id"),
+        F.col(source).cast("string").alias("source"),
+        words_in(F.col(text).cast("string")).alias("size"),
+        place(F.col(doc_id)).alias("place"),
     )
+    rows = stage(whole.drop(*keep))
     targets = source_targets(rows, weights, share, most)
     # A source without words gives no whole pass; a plain division by its size would raise.
     passes = F.floor(F.try_divide("target", "source_size"))
@@ -126,8 +127,9 @@ def mix(
     edges = thresholds(rows.select("source", "size", "place"), targets.where(F.col("need") > 0).select("source", "need"))
     edges = edges.withColumnRenamed("source", "edge_source")
     plan = targets.join(edges, F.col("source").eqNullSafe(F.col("edge_source")), "left").drop("edge_source")
-    plan = plan.withColumnRenamed("source", "plan_source")
-    joined = rows.join(plan, F.col("source").eqNullSafe(F.col("plan_source")))
+    # One row per source; staged, its size is known, so kept columns need not move.
+    plan = stage(plan.withColumnRenamed("source", "plan_source"))
+    joined = (whole if keep else rows).join(plan, F.col("source").eqNullSafe(F.col("plan_source")))
     at_edge = F.when(F.col("at") == F.col("size"), F.col("rest")).otherwise(
         F.floor(F.col("rest") * (F.col("size") / F.col("at"))).cast("long")
     )
@@ -137,4 +139,4 @@ def mix(
         .otherwise(F.lit(0))
     )
     taken = F.col("passes") * F.col("size") + F.coalesce(extra, F.lit(0))
-    return joined.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return joined.select(*keep, "doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))

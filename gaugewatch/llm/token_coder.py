@@ -3,12 +3,12 @@
 A block of ids is cut into equal lanes that are coded side by side, so one numpy call codes one
 id of every lane. The lanes share a model that starts empty in every block. It knows
 
-* order 2: the id that last followed the same two ids, and how sure that is (0 to 3),
-* order 1: the id that last followed the same id, and how sure that is,
+* order 2: the id that last followed the same two ids, and how often in a row (0 to 3 times more),
+* order 1: the id that last followed the same id, and how often in a row,
 * order 0: how often each id came that neither of them foresaw.
 
 Their predictions are mixed: the weights of the three are the shares in which each was right
-so far in the same state (both sureties, and whether they agree). A range coder first narrows
+so far in the same state (both counts, and whether they agree). A range coder first narrows
 its range to the order that foresaw the id, then, for order 0, to the id's own share. Encoder
 and decoder update the model from the same ids in the same order, so the weights agree.
 """
@@ -18,7 +18,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Lanes of a block and ids of a lane at most; shorter blocks have lanes of at least ``LANE_LEAST`` ids.
-LANES, LANE_IDS, LANE_LEAST = 4096, 512, 128
+LANES, LANE_IDS, LANE_LEAST = 8192, 256, 128
 BLOCK_IDS = LANES * LANE_IDS
 #: Bits of the hash of two ids, of the mixing weights' total, and of the order-0 total.
 PAIR_BITS, MIX_BITS, ID_BITS = 20, 15, 20
@@ -29,8 +29,10 @@ FRESH, FRESH_PART = 16_384, 8
 #: Below this the range is too small, and 32 bits leave the coder.
 LEAST = np.uint64(1 << 32)
 SHIFT = np.uint64(32)
-#: What a hit adds to the surety of a prediction.
-RISE = np.array([1, 1, 1, 0], np.int32)
+#: Ids of every lane after which the mixing weights are made anew.
+MIX_STEPS = 4
+#: The hash of two ids.
+SPREAD, PAIR_TURN, PAIR_DROP = np.uint32(0x9E3779B1), np.uint32(9), np.uint32(32 - PAIR_BITS)
 
 
 class Mixer:
@@ -41,12 +43,13 @@ class Mixer:
         # id * 4 + surety
         self.after_one = np.zeros(ids, np.int32)
         self.after_two = np.zeros(1 << PAIR_BITS, np.int32)
+        # The last id of each lane, and the spread code of the one before.
         self.one = np.zeros(lanes, np.int64)
-        self.two = np.zeros(lanes, np.int64)
+        self.code = np.zeros(lanes, np.uint32)
         self.right = np.ones((STATES, 3), np.int64)
         self.counts = np.ones(ids, np.int64)
         self.waiting: list[np.ndarray] = []
-        self.n_waiting = self.n_counted = 0
+        self.n_waiting = self.n_counted = self.steps = 0
         self._mix()
         self._share()
 
@@ -84,28 +87,39 @@ class Mixer:
 
     def predict(self, n: int) -> np.ndarray:
         """Looks up both predictions of the first ``n`` lanes; gives the states of the mixer."""
-        pair = (self.two[:n] * 0x9E3779B1 + self.one[:n] * 0x85EBCA77) & 0xFFFFFFFF
-        self.pair = pair >> (32 - PAIR_BITS)
-        self.guess_one, self.guess_two = self.after_one[self.one[:n]], self.after_two[self.pair]
+        self.now_code = self.one[:n].astype(np.uint32) * SPREAD
+        self.pair = (((self.code[:n] >> PAIR_TURN) ^ self.now_code) >> PAIR_DROP).astype(np.int64)
+        self.guess_one = self.after_one.take(self.one[:n], mode="clip")
+        self.guess_two = self.after_two.take(self.pair, mode="clip")
         self.sure_one, self.sure_two = self.guess_one & 3, self.guess_two & 3
         self.first, self.second = self.guess_two >> 2, self.guess_one >> 2
-        return (self.sure_two * 4 + self.sure_one) * 2 + (self.first == self.second)
+        state = self.sure_two << 2
+        state |= self.sure_one
+        state <<= 1
+        state += self.first == self.second
+        return state
 
     def learn(self, ids: np.ndarray, slots: np.ndarray, new: np.ndarray) -> None:
         """Takes over the coded ids, the outcomes (state * 3 + order) and the ids no order foresaw."""
         n = len(ids)
-        fresh = (ids << 2).astype(np.int32)
-        for table, at, guess, sure, said in (
-            (self.after_one, self.one[:n], self.guess_one, self.sure_one, self.second),
-            (self.after_two, self.pair, self.guess_two, self.sure_two, self.first),
+        narrow = ids.astype(np.int32)
+        fresh = narrow << 2
+        # The newest id is the next prediction, surer for every time that it came in a row.
+        for table, at, sure, said in (
+            (self.after_one, self.one[:n], self.sure_one, self.second),
+            (self.after_two, self.pair, self.sure_two, self.first),
         ):
-            # A hit gets surer, a miss less sure, and an unsure miss is replaced.
-            missed = np.where(sure > 0, guess - 1, fresh)
-            table[at] = np.where(said == ids, guess + RISE[sure], missed)
-        self.two[:n] = self.one[:n]
+            sure += 1
+            np.minimum(sure, 3, out=sure)
+            sure *= said == narrow
+            sure += fresh
+            table[at] = sure
+        self.code[:n] = self.now_code
         self.one[:n] = ids
         self.right += np.bincount(slots, minlength=3 * STATES).reshape(STATES, 3)
-        self._mix()
+        self.steps += 1
+        if self.steps % MIX_STEPS == 0 or self.steps < MIX_STEPS:
+            self._mix()
         if len(new):
             self.waiting.append(new)
             self.n_waiting += len(new)
@@ -159,13 +173,15 @@ def encode(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
         n = int(np.count_nonzero(lengths > step))
         now = ids[starts[:n] + step]
         state = mixer.predict(n)
-        order = np.where(now == mixer.first, 0, 2 - (now == mixer.second))
+        order = 2 - (now == mixer.second)
+        order[now == mixer.first] = 0
         slots = state * 3 + order
-        narrow(slice(0, n), mixer.weight_from[slots], mixer.weight[slots], MIX_BITS)
+        narrow(slice(0, n), mixer.weight_from.take(slots, mode="clip"), mixer.weight.take(slots, mode="clip"), MIX_BITS)
         new = np.flatnonzero(order == 2)
+        fresh = now.take(new)
         if len(new):
-            narrow(new, mixer.share_from[now[new]], mixer.share[now[new]], ID_BITS)
-        mixer.learn(now, slots, now[new])
+            narrow(new, mixer.share_from.take(fresh, mode="clip"), mixer.share.take(fresh, mode="clip"), ID_BITS)
+        mixer.learn(now, slots, fresh)
     every = np.arange(lanes)
     out_lanes += [every, every]
     out += [low >> SHIFT, low & np.uint64(0xFFFFFFFF)]
@@ -210,21 +226,23 @@ def decode(counts: np.ndarray, digits: np.ndarray, n_ids: int, vocabulary: int)
         state = mixer.predict(n)
         part = span[:n] >> np.uint64(MIX_BITS)
         seen = np.minimum(value[:n] // part, np.uint64((1 << MIX_BITS) - 1)).astype(np.int64)
-        order = (seen >= mixer.first_end[state]).astype(np.int64) + (seen >= mixer.second_end[state])
+        order = (seen >= mixer.first_end.take(state)).astype(np.int64)
+        order += seen >= mixer.second_end.take(state)
         slots = state * 3 + order
-        value[:n] -= part * mixer.weight_from[slots]
-        span[:n] = part * mixer.weight[slots]
+        value[:n] -= part * mixer.weight_from.take(slots)
+        span[:n] = part * mixer.weight.take(slots)
         refill()
         now = np.where(order == 0, mixer.first, mixer.second).astype(np.int64)
         new = np.flatnonzero(order == 2)
         if len(new):
-            part = span[new] >> np.uint64(ID_BITS)
-            seen = np.minimum(value[new] // part, np.uint64((1 << ID_BITS) - 1))
-            owner = mixer.owners[seen.astype(np.int64)].astype(np.int64)
+            part = span.take(new) >> np.uint64(ID_BITS)
+            left = value.take(new)
+            seen = np.minimum(left // part, np.uint64((1 << ID_BITS) - 1))
+            owner = mixer.owners.take(seen.astype(np.int64)).astype(np.int64)
             now[new] = owner
-            value[new] -= part * mixer.share_from[owner]
-            span[new] = part * mixer.share[owner]
+            value[new] = left - part * mixer.share_from.take(owner)
+            span[new] = part * mixer.share.take(owner)
             refill()
         found[starts[:n] + step] = now
-        mixer.learn(now, slots, now[new])
+        mixer.learn(now, slots, now.take(new))
     return found

@@ -15,7 +15,7 @@ import re
 import struct
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +28,12 @@ from gaugewatch.llm import token_coder
 from gaugewatch.llm.common import stage
 from gaugewatch.llm.token_counts import PRE_TOKEN, byte_letters
 
-#: Bytes of text that a file gets on average, and ids that are decoded and passed on together.
-FILE_BYTES, PASS_IDS = 64 * 2**20, 4_000_000
-#: Words and pieces of words whose ids a Python worker remembers, and the longest of them.
+#: Bytes of text that a file gets on average.
+FILE_BYTES = 24 * 2**20
+#: Words, and pieces of words, whose ids a Python worker remembers for sure, and the longest of them.
 CACHE_ENTRIES, CACHE_CHARS = 300_000, 48
+#: Signs that are a piece alone after a letter.
+SIGNS = frozenset(".,;:!?)")
 
 # The file format. Name, version, file, documents, ids, digits, lanes, vocabulary, checksum.
 HEADER, MAGIC, VERSION, BLOCK_END = struct.Struct("<4sIIIIIIII"), b"gwti", 1, "\n"
@@ -40,6 +42,25 @@ NO_NAME, GOES_ON = 1, 2
 DOCUMENTS = "file int, place long, doc_id long, start_in_file long, n_tokens long, ids binary"
 
 
+class Known(dict):
+    """Ids made by ``make``, remembered in two generations: the older one goes when the newer one is full."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            found = self.make(word)
+        if len(word) <= CACHE_CHARS:
+            if len(self) >= CACHE_ENTRIES:
+                self.older = dict(self)
+                self.clear()
+            self[word] = found
+        return found
+
+
 class TextIds:
     """Ids of whole texts as the library gives them, in arrays of 32-bit numbers.
 
@@ -52,45 +73,43 @@ class TextIds:
         self.library = Tokenizer.from_str(definition)
         self.end = array("I", [end]).tobytes()
         self.merge = self.library.model.tokenize
-        self.letters = byte_letters()
+        self.letters = "".join(letter for _, letter in sorted(byte_letters().items()))
         self.split = regex.compile(PRE_TOKEN).findall
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.after_blank, self.pieces = Known(self.word), Known(self.piece)
         added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join([r"\s (?:\s|\Z)", *map(re.escape, added)])).search
 
     def piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            letters = "".join(map(self.letters.__getitem__, piece.encode()))
-            found = array("I", [t.id for t in self.merge(letters)]).tobytes()
-            if len(piece) <= CACHE_CHARS:
-                if len(self.pieces) >= CACHE_ENTRIES:
-                    self.pieces.clear()
-                self.pieces[piece] = found
-        return found
+        """Ids of one piece of the vocabulary's split."""
+        shown = piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.merge(shown)]).tobytes()
 
     def word(self, word: str) -> bytes:
-        return b"".join(map(self.piece, self.split(word)))
+        """Ids of a word after a blank."""
+        if word.isalpha():
+            return self.piece(" " + word)
+        # Most others end in one sign.
+        if word[:-1].isalpha() and word[-1] in SIGNS:
+            return self.pieces[" " + word[:-1]] + self.pieces[word[-1]]
+        return b"".join(map(self.pieces.__getitem__, self.split(" " + word)))
 
     def __call__(self, text: str) -> bytes:
         """All ids of the text, then the end id."""
         if self.special(text):
             return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes() + self.end
         first, *rest = text.split(" ")
-        known = self.words
-        out = [self.word(first)]
-        for word in rest:
-            ids = known.get(word)
-            if ids is None:
-                ids = self.word(" " + word)
-                if len(word) <= CACHE_CHARS:
-                    if len(known) >= CACHE_ENTRIES:
-                        known.clear()
-                    known[word] = ids
-            out.append(ids)
-        out.append(self.end)
-        return b"".join(out)
+        begin = b"".join(map(self.pieces.__getitem__, self.split(first)))
+        return b"".join([begin, *map(self.after_blank.__getitem__, rest), self.end])
+
+
+_last: list = []
+
+
+def ids_maker(definition: str, end: int) -> TextIds:
+    """One for all tasks of a Python worker, so that words are remembered from task to task."""
+    if not _last or _last[:2] != [definition, end]:
+        _last[:] = [definition, end, TextIds(definition, end)]
+    return _last[2]
 
 
 def write_block(file: int, docs: list[tuple[int | None, int, bool]], ids: np.ndarray, vocabulary: int) -> bytes:
@@ -184,7 +203,7 @@ def write_tokens(
     ordered = ordered.sortWithinPartitions(F.asc_nulls_first("doc_id"), "row").select("doc_id", "text")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = TextIds(shared.value, end_id)
+        ids_of = ids_maker(shared.value, end_id)
         writer = BlockWriter(TaskContext.get().partitionId(), vocabulary)
         for batch in batches:
             for name, content in zip(batch["doc_id"].to_pylist(), batch["text"]):
@@ -227,6 +246,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     names = [part.split()[0] for part in DOCUMENTS.split(",")]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _last.clear()  # readers need no words
         for batch in batches:
             for content in batch.column(0):
                 data, at = memoryview(content.as_buffer()), 0

@@ -8,11 +8,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gaugewatch.llm.common import stage
 
-#: The sample: this many labelled rows of each label are expected, each whole.
+#: The sample: this many texts of each label at most, each whole.
 ROWS_PER_LABEL = 4000
 #: Entries of the learned lexicon, the toxic sample texts one must occur in, its least log-odds.
 LEXICON, LEAST_TEXTS, LEAST_WEIGHT = 200, 5, 2.0
@@ -213,27 +213,32 @@ def form_counts(sample: DataFrame) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("texts").alias("texts"))
 
 
+def _least(rows: DataFrame, place: Column, tie: str) -> DataFrame:
+    """The ``ROWS_PER_LABEL`` rows of least ``place`` of each label; each task passes on no more than that."""
+    turn = F.row_number().over(Window.partitionBy("label").orderBy(place, tie))
+    return rows.withColumn("turn", turn).where(F.col("turn") <= ROWS_PER_LABEL).drop("turn")
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, may_learn: Column, text: str = "text", label: str = "toxic", doc_id: str = "doc_id"
 ) -> ToxicityModel | None:
     """A model from labelled rows where ``may_learn`` holds; None unless both labels occur.
 
-    Labels of one identifier that disagree count as the higher one. Rows are drawn by a hash
-    of the identifier, one rate per label; lexicon counts are made by Spark over the drawn
-    rows, and the driver gets their features.
+    Labels of one identifier that disagree count as the higher one. Of the identifiers that
+    have a text, the ``ROWS_PER_LABEL`` of least hash are drawn for each label, and of their
+    different texts again as many: neither the number of labels nor that of rows that share an
+    identifier changes the bound. Lexicon counts are made by Spark over the drawn rows, and the
+    driver gets their features.
     """
     marks = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label"))
     marks = marks.where(F.col("id").isNotNull() & F.col("label").isin(0, 1) & may_learn)
-    marks = stage(marks.groupBy("id").agg(F.max("label").alias("label")))
-    sizes = {row["label"]: row["count"] for row in marks.groupBy("label").count().collect()}
-    if len(sizes) < 2:
-        return None
-    parts = 10**6
-    rates = [min(parts, ROWS_PER_LABEL * parts // sizes[i]) for i in (0, 1)]
-    rate = F.when(F.col("label") == 1, F.lit(rates[1])).otherwise(F.lit(rates[0]))
-    drawn = stage(marks.where(F.pmod(F.xxhash64("id"), F.lit(parts)) < rate))
+    marks = marks.groupBy("id").agg(F.max("label").alias("label"))
+    marks = marks.join(docs.select(F.col(doc_id).alias("id")), "id", "left_semi")
+    drawn = stage(_least(marks, F.xxhash64("id"), "id"))
     content = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    sample = stage(docs.select(F.col(doc_id).alias("id"), content.alias("text")).join(drawn, "id"))
+    texts = docs.select(F.col(doc_id).alias("id"), content.alias("text")).join(drawn, "id")
+    texts = texts.withColumn("order", F.xxhash64("id", "text")).dropDuplicates(["id", "order"])
+    sample = stage(_least(texts, F.col("order"), "id"))
     counted = form_counts(sample)
     totals = sample.agg(F.sum("label"), F.count("*")).first()
     if not totals[0] or totals[0] == totals[1]:
@@ -252,7 +257,7 @@ def fit(
                 [batch["label"], batch["order"], pa.array(rows, pa.list_(pa.float64()))], ["label", "order", "x"]
             )
 
-    rows = sample.select("text", "label", F.xxhash64("id", "text").alias("order"))
+    rows = sample.select("text", "label", "order")
     got = rows.mapInArrow(featured, "label int, order long, x array<double>").toArrow().sort_by("order")
     y = got["label"].to_numpy().astype(float)
     x = np.array(got["x"].to_pylist())

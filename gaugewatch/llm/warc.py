@@ -113,6 +113,7 @@ def write_arc(pages: DataFrame, path: str, version: Column) -> None:
         F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("unknown:")), r"[\s\p{Cntrl}]", "%20").alias("uri"),
         html.alias("html"),
         version.cast("int").alias("version"),
+        F.monotonically_increasing_id().alias("row"),
     )
     files = _files(rows.agg(F.coalesce(F.sum(F.octet_length("html") + 400), F.lit(0))).first()[0])
     head = F.concat(
@@ -135,7 +136,8 @@ def write_arc(pages: DataFrame, path: str, version: Column) -> None:
     for number, fields in ARC_FIELDS.items():
         about = f"{number} 0 pages\n{fields}\n"
         opening = f"filedesc://pages.arc 0.0.0.0 20000101000000 text/plain {len(about)}\n{about}"
-        records = rows.where(F.col("version") == number).repartition(files, "page_id")
+        # Dealt by the row's place in the table: pages without identifier, or of one, fill many files.
+        records = rows.where(F.col("version") == number).repartition(files, "row")
         records = records.select(F.concat(line, F.lit("\n"), "content").alias("value"))
         records = records.mapInArrow(_opened(opening), "value string")
         records.write.option("lineSep", ARC_END).option("compression", "gzip").text(f"{path}/v{number}")
