@@ -30,17 +30,19 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     """Of each component of near copies (five words, 0.8) the row of least identifier stays, nulls last.
 
     Rows that agree in all columns are one; others that share an identifier go by their texts.
+    Rows are told apart by a 256-bit key, and numbered for the comparison.
     """
-    rows = keyed(docs).withColumn("row", F.xxhash64("row"))
-    found = jaccard.similarity_components(rows.select("row", "text"), n=5, percent=80, doc_id="row")
-    copies = found.where(F.col("row") != F.col("component_id")).select("row", "component_id").distinct()
-    heads = copies.select(F.col("component_id").alias("row"), "component_id").distinct()
+    unique = keyed(docs).dropDuplicates(["row"]).drop("row")
+    rows = stage(unique.withColumn("number", F.monotonically_increasing_id()))
+    found = jaccard.similarity_components(rows.select("number", "text"), n=5, percent=80, doc_id="number")
+    copies = found.where(F.col("number") != F.col("component_id")).select("number", "component_id")
+    heads = copies.select(F.col("component_id").alias("number"), "component_id").distinct()
     members = stage(copies.union(heads))
-    ranked = rows.select("row", "doc_id").join(members, "row")
-    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
-    least = ranked.groupBy("component_id").agg(F.min(first)["row"].alias("least"))
-    gone = stage(members.join(least, "component_id").where(F.col("row") != F.col("least")).select("row"))
-    return rows.join(gone, "row", "left_anti").dropDuplicates(["row"]).select("whole.*")
+    ranked = rows.select("number", "doc_id").join(members, "number")
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "number")
+    least = ranked.groupBy("component_id").agg(F.min(first)["number"].alias("least"))
+    gone = stage(members.join(least, "component_id").where(F.col("number") != F.col("least")).select("number"))
+    return rows.join(gone, "number", "left_anti").select("whole.*")
 
 
 def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,8 +63,14 @@ def drop_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of every document it takes words of."""
-    return mixing.mix(docs).where(F.col("taken") > 0)
+    """The documents that the mix takes words of, whole, with size, source_size, target and taken.
+
+    Columns of these names in ``docs`` give way to the mix's own.
+    """
+    made = ["size", "source_size", "target", "taken"]
+    rows = docs.select(F.struct(*docs.columns).alias("whole"), "doc_id", "text", "source")
+    taken = mixing.mix(rows, keep=("whole",)).where(F.col("taken") > 0)
+    return taken.select(*[F.col("whole")[c].alias(c) for c in docs.columns if c not in made], *made)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -78,7 +86,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``: whole rows, with what the mix takes of each. An empty table gives no rows."""
     use_utc(spark)
     ship(spark)
     base = f"{scratch_dir(spark)}/pipeline-{uuid.uuid4().hex}"
