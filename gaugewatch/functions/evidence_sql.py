@@ -20,10 +20,13 @@ _WINDOW = f"{_TAGS}, start_ts TIMESTAMP, end_ts TIMESTAMP"
 
 @dataclass(frozen=True)
 class EvidenceTables:
+    """The tables that the functions read, and how many raw points of a tag an answer shows."""
+
     long: str = "incident_tag_values"
     incidents: str = "monitor_incident"
     log: str = "monitor_log"
     feedback: str = "monitor_incident_feedback"
+    max_points: int = MAX_SAMPLE_POINTS
 
 
 def _fields(**fields: str) -> str:
@@ -75,7 +78,9 @@ def _catalog(t: EvidenceTables) -> str:
 
 def _packet(t: EvidenceTables) -> str:
     keys = ["station", "source_table", TAG, "rule_type", "status"]
-    incident = f"SELECT * FROM {t.incidents} WHERE incident_id = wanted_id LIMIT 1"
+    # The last version, should an identifier stand there more than once.
+    newest = f"SELECT max_by(struct(*), update_ts) AS i FROM {t.incidents} WHERE incident_id = wanted_id"
+    incident = f"SELECT i.* FROM ({newest}) WHERE i IS NOT NULL"
     same = " AND ".join(f"l.{key} = i.{key}" for key in keys)
     logs = (
         f"SELECT l.* FROM {t.log} l JOIN ({incident}) i ON {same} "
@@ -115,14 +120,14 @@ def _sample(t: EvidenceTables) -> str:
     points = _points(t.long)
     first = (
         f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {TAG} ORDER BY {TS}, {VALUE}) AS place "
-        f"FROM ({points})) WHERE place <= {MAX_SAMPLE_POINTS}"
+        f"FROM ({points})) WHERE place <= {t.max_points}"
     )
     totals = f"SELECT {TAG}, count(*) AS total FROM ({points}) GROUP BY {TAG}"
     return _answer(
         "raw_points_sample", t.long, _WINDOW_INPUT,
-        max_points_per_tag=str(MAX_SAMPLE_POINTS),
+        max_points_per_tag=str(t.max_points),
         total_points_by_tag=_rows(totals, tag_name=TAG, total_points="total"),
-        returned_points=f"(SELECT coalesce(sum(least(total, {MAX_SAMPLE_POINTS})), 0) FROM ({totals}))",
+        returned_points=f"(SELECT coalesce(sum(least(total, {t.max_points})), 0) FROM ({totals}))",
         points=_rows(first, tag_name=TAG, ts_utc=_utc(TS), value=VALUE),
     )
 
@@ -132,10 +137,18 @@ def _extent(first: str = "first_ts", last: str = "last_ts") -> dict[str, str]:
 
 
 def _window_stats(t: EvidenceTables) -> str:
+    # Exact quartiles, by the places of the readings in their order.
+    placed = (
+        f"SELECT *, row_number() OVER (PARTITION BY {TAG} ORDER BY {VALUE} NULLS LAST) AS place, "
+        f"count({VALUE}) OVER (PARTITION BY {TAG}) AS filled FROM ({_points(t.long)})"
+    )
+    quartiles = ", ".join(
+        f"min(CASE WHEN place >= greatest(ceil({share}D * filled), 1) THEN {VALUE} END)" for share in (0.25, 0.5, 0.75)
+    )
     stats = (
         f"SELECT {TAG}, count(*) AS points, min({TS}) AS first_ts, max({TS}) AS last_ts, min({VALUE}) AS low, "
-        f"percentile_approx({VALUE}, array(0.25D, 0.5D, 0.75D)) AS q, avg({VALUE}) AS mean, max({VALUE}) AS high, "
-        f"stddev_samp({VALUE}) AS spread FROM ({_points(t.long)}) GROUP BY {TAG}"
+        f"array({quartiles}) AS q, avg({VALUE}) AS mean, max({VALUE}) AS high, stddev_samp({VALUE}) AS spread "
+        f"FROM ({placed}) GROUP BY {TAG}"
     )
     return _answer(
         "related_tag_window_stats", t.long, _WINDOW_INPUT,

@@ -6,11 +6,12 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from gaugewatch.functions.columns import half_open, local_text, percentiles, tag_key, ts_lit, window_phase
+from gaugewatch.functions.columns import half_open, local_text, tag_key, ts_lit, window_phase
 from gaugewatch.operators.incidents import match_logs
+from gaugewatch.operators.ranks import group_quantiles, join_on
 from gaugewatch.operators.segments import gap_totals
 from gaugewatch.schemas import TAG, TS, VALUE
-from gaugewatch.session import local_frame
+from gaugewatch.session import local_frame, stage
 
 MAX_SAMPLE_POINTS = 200
 _REQUEST = T.StructType([T.StructField("position", T.IntegerType()), T.StructField("requested_tag", T.StringType())])
@@ -70,34 +71,37 @@ def raw_points_sample(
     return first.join(totals, TAG).select(TAG, TS, VALUE, "point_rank", "total_points")
 
 
+QUARTILES = {"p25_value": 0.25, "median_value": 0.5, "p75_value": 0.75}
+
+
 def window_stats(
-    long: DataFrame, tags: list[str], start: datetime, end: datetime, accuracy: int = 10000
+    long: DataFrame, tags: list[str], start: datetime, end: datetime, accuracy: int | None = None
 ) -> DataFrame:
-    return (
-        _window(long, tags, start, end)
-        .groupBy(TAG)
-        .agg(
+    """Extent, moments and quartiles of each tag in the window; quartiles are exact unless an ``accuracy`` is given."""
+    points = _window(long, tags, start, end)
+    stats = stage(
+        points.groupBy(TAG).agg(
             *_extent(),
             F.min(VALUE).alias("min_value"),
             F.avg(VALUE).alias("avg_value"),
             F.max(VALUE).alias("max_value"),
             F.stddev_samp(VALUE).alias("stddev_value"),
-            percentiles(F.col(VALUE), [0.25, 0.5, 0.75], accuracy).alias("q"),
-        )
-        .select(
-            TAG,
-            "point_count",
-            "first_ts",
-            "last_ts",
-            "min_value",
-            F.get("q", F.lit(0)).alias("p25_value"),
-            "avg_value",
-            F.get("q", F.lit(1)).alias("median_value"),
-            F.get("q", F.lit(2)).alias("p75_value"),
-            "max_value",
-            "stddev_value",
         )
     )
+    quartiles = group_quantiles(points, [TAG], QUARTILES, VALUE, accuracy)
+    return join_on(stats, quartiles, [TAG], "left").select(
+        TAG,
+        "point_count",
+        "first_ts",
+        "last_ts",
+        "min_value",
+        "p25_value",
+        "avg_value",
+        "median_value",
+        "p75_value",
+        "max_value",
+        "stddev_value",
+    )
 
 
 def _phase_aggregates(points: DataFrame, *keys: str) -> DataFrame:

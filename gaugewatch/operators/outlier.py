@@ -7,36 +7,27 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, functions as F
 
 from gaugewatch.config import OutlierRule, RunGrid
-from gaugewatch.functions.columns import json_keep_nulls, percentiles
+from gaugewatch.functions.columns import json_keep_nulls
+from gaugewatch.operators.ranks import group_quantiles, join_on
 from gaugewatch.operators.runs import of_tags, tag_runs, window_extrema, with_run_columns
 from gaugewatch.operators.trailing import fenced_history_percentiles, fences
 from gaugewatch.schemas import TAG, VALUE
 
 
-def iqr_fences(readings: DataFrame, accuracy: int = 10000) -> DataFrame:
-    """Quartiles and 1.5-IQR fences per tag."""
+def iqr_fences(readings: DataFrame, accuracy: int | None = None) -> DataFrame:
+    """Quartiles and 1.5-IQR fences per tag; exact unless an ``accuracy`` is given."""
     lower, upper = fences(F.col("history_q1"), F.col("history_q3"))
-    return (
-        readings.groupBy(TAG)
-        .agg(percentiles(F.col(VALUE), [0.25, 0.75], accuracy).alias("q"))
-        .select(TAG, F.get("q", F.lit(0)).alias("history_q1"), F.get("q", F.lit(1)).alias("history_q3"))
-        .withColumn("lower_fence", lower)
-        .withColumn("upper_fence", upper)
-    )
+    quartiles = group_quantiles(readings, [TAG], {"history_q1": 0.25, "history_q3": 0.75}, VALUE, accuracy)
+    return quartiles.withColumn("lower_fence", lower).withColumn("upper_fence", upper)
 
 
-def fenced_percentiles(readings: DataFrame, bounds: DataFrame, accuracy: int = 10000) -> DataFrame:
-    """p1 and p99 of the values inside each tag's fences.
+def fenced_percentiles(readings: DataFrame, bounds: DataFrame, accuracy: int | None = None) -> DataFrame:
+    """p1 and p99 of the values inside each tag's fences; exact unless an ``accuracy`` is given.
 
     ``bounds`` has one row per tag; staged, it is broadcast only if it is small.
     """
-    return (
-        readings.join(bounds, TAG)
-        .filter(F.col(VALUE).between(F.col("lower_fence"), F.col("upper_fence")))
-        .groupBy(TAG)
-        .agg(percentiles(F.col(VALUE), [0.01, 0.99], accuracy).alias("p"))
-        .select(TAG, F.get("p", F.lit(0)).alias("history_p1"), F.get("p", F.lit(1)).alias("history_p99"))
-    )
+    kept = join_on(readings, bounds, [TAG]).filter(F.col(VALUE).between(F.col("lower_fence"), F.col("upper_fence")))
+    return group_quantiles(kept, [TAG], {"history_p1": 0.01, "history_p99": 0.99}, VALUE, accuracy)
 
 
 def outlier(

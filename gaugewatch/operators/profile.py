@@ -11,7 +11,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gaugewatch.config import GAP_MINUTES, HISTOGRAM_BINS
-from gaugewatch.functions.columns import closed, local_text, null_rate, percentiles, to_local, ts_lit
+from gaugewatch.functions.columns import closed, local_text, null_rate, to_local, ts_lit
+from gaugewatch.operators.ranks import group_quantiles, join_on
 from gaugewatch.operators.runs import of_tags, tag_frame
 from gaugewatch.operators.segments import gap_totals
 from gaugewatch.schemas import TAG, TS, VALUE
@@ -32,8 +33,12 @@ def _availability() -> list[Column]:
     return [F.count(F.lit(1)).alias("row_count"), F.count(VALUE).alias("non_null_count")]
 
 
-def _named_quantiles(probs: dict[str, float]) -> list[Column]:
-    return [F.get("q", F.lit(i)).alias(name) for i, name in enumerate(probs)]
+def _with_quantiles(
+    counted: DataFrame, readings: DataFrame, keys: list[str], probs: dict[str, float], accuracy: int | None
+) -> DataFrame:
+    """Staged counts of groups, with the groups' quantiles."""
+    totals = counted.select(*keys, F.col("non_null_count").alias("n"))
+    return join_on(counted, group_quantiles(readings, keys, probs, VALUE, accuracy, totals), keys, "left")
 
 
 def _null_columns() -> list[Column]:
@@ -42,31 +47,30 @@ def _null_columns() -> list[Column]:
 
 
 def profile_stats(
-    readings: DataFrame, periods: dict[str, Period], tags: list[str] | None = None, accuracy: int = 10000
+    readings: DataFrame, periods: dict[str, Period], tags: list[str] | None = None, accuracy: int | None = None
 ) -> DataFrame:
     """Per tag and period: counts, null rate, moments, extremes and five quantiles.
 
     A reading may lie in several periods. With ``tags`` given, a tag without rows in a
-    period still has its row.
+    period still has its row. Quantiles are exact unless an ``accuracy`` is given.
     """
     names = F.array_compact(
         F.array(*[F.when(closed(F.col(TS), *period), F.lit(name)) for name, period in periods.items()])
     )
     first = min(start for start, _ in periods.values())
     last = max(end for _, end in periods.values())
-    stats = (
-        _in_period(readings, (first, last))
-        .select(TAG, VALUE, F.explode(names).alias("period"))
-        .groupBy(TAG, "period")
-        .agg(
+    keys = [TAG, "period"]
+    placed = _in_period(readings, (first, last)).select(TAG, VALUE, F.explode(names).alias("period"))
+    stats = stage(
+        placed.groupBy(*keys).agg(
             *_availability(),
             F.avg(VALUE).alias("mean_value"),
             F.stddev_samp(VALUE).alias("stddev_value"),
             F.min(VALUE).alias("min_value"),
             F.max(VALUE).alias("max_value"),
-            percentiles(F.col(VALUE), list(STATS_PROBS.values()), accuracy).alias("q"),
         )
     )
+    stats = _with_quantiles(stats, placed, keys, STATS_PROBS, accuracy)
     if tags is not None:
         expected = tag_frame(readings.sparkSession, tags).select(TAG, F.explode(F.array(*[F.lit(name) for name in periods])).alias("period"))
         stats = expected.join(stats, [TAG, "period"], "left").fillna(0, ["row_count", "non_null_count"])
@@ -80,7 +84,7 @@ def profile_stats(
         "stddev_value",
         "min_value",
         "max_value",
-        *_named_quantiles(STATS_PROBS),
+        *STATS_PROBS,
     )
 
 
@@ -110,15 +114,13 @@ def fixed_histogram(readings: DataFrame, period: Period, bins: int = HISTOGRAM_B
     )
 
 
-def daily_trend(readings: DataFrame, period: Period, accuracy: int = 10000) -> DataFrame:
-    """Per tag and local day: counts, null rate and three quantiles."""
-    return (
-        _in_period(readings, period)
-        .groupBy(TAG, F.date_trunc("DAY", to_local(F.col(TS))).alias("profile_date"))
-        .agg(*_availability(), percentiles(F.col(VALUE), list(TREND_PROBS.values()), accuracy).alias("q"))
-        .select(
-            TAG, "profile_date", "row_count", "non_null_count", *_null_columns(), *_named_quantiles(TREND_PROBS)
-        )
+def daily_trend(readings: DataFrame, period: Period, accuracy: int | None = None) -> DataFrame:
+    """Per tag and local day: counts, null rate and three quantiles, exact unless an ``accuracy`` is given."""
+    keys = [TAG, "profile_date"]
+    days = _in_period(readings, period).select(TAG, VALUE, F.date_trunc("DAY", to_local(F.col(TS))).alias("profile_date"))
+    counted = stage(days.groupBy(*keys).agg(*_availability()))
+    return _with_quantiles(counted, days, keys, TREND_PROBS, accuracy).select(
+        *keys, "row_count", "non_null_count", *_null_columns(), *TREND_PROBS
     )
 
 
@@ -152,15 +154,15 @@ def density(histogram: DataFrame) -> DataFrame:
     return histogram.withColumn("density", F.when(total > 0, F.col("value_count") / total).otherwise(F.lit(0.0)))
 
 
-def density_summary(histogram: DataFrame) -> DataFrame:
-    """Per tag: number of bins, total and the five fullest bins."""
+def density_summary(histogram: DataFrame, top_bins: int = TOP_BINS) -> DataFrame:
+    """Per tag: number of bins, total and the ``top_bins`` fullest bins."""
     order = Window.partitionBy(TAG).orderBy(F.desc("value_count"), "bin_center")
     top = F.struct("place", "bin_center", "value_count", "density")
     ranked = density(histogram).withColumn("place", F.row_number().over(order))
     return ranked.groupBy(TAG).agg(
         F.count(F.lit(1)).alias("bin_count"),
         F.sum("value_count").alias("total_count"),
-        F.array_sort(F.collect_list(F.when(F.col("place") <= TOP_BINS, top))).alias("top_bins"),
+        F.array_sort(F.collect_list(F.when(F.col("place") <= top_bins, top))).alias("top_bins"),
     )
 
 
@@ -195,7 +197,7 @@ def drift_long(stats: DataFrame) -> DataFrame:
 
 
 def tag_profile(
-    readings: DataFrame, tags: list[str], baseline: Period, recent: Period, accuracy: int = 10000
+    readings: DataFrame, tags: list[str], baseline: Period, recent: Period, accuracy: int | None = None
 ) -> dict[str, DataFrame]:
     """The profile data sets of the given tags, unevaluated."""
     chosen = of_tags(readings, tags)
@@ -217,8 +219,9 @@ def tag_profile_report(
     catalog: DataFrame,
     baseline: Period,
     recent: Period,
-    accuracy: int = 10000,
+    accuracy: int | None = None,
     histogram=adaptive_histogram,
+    top_bins: int = TOP_BINS,
 ) -> DataFrame:
     """One row per tag: metadata, windows, statistics of both periods, drift, density, trend, gaps.
 
@@ -234,7 +237,7 @@ def tag_profile_report(
     shift = percentile_shift(stats).select(
         TAG, F.struct(*[F.round(f"{p}_shift", 6).alias(p) for p in SHIFTED]).alias("percentile_shift")
     )
-    bins = density_summary(histogram(chosen, baseline)).select(
+    bins = density_summary(histogram(chosen, baseline), top_bins).select(
         TAG,
         F.struct(
             "bin_count",

@@ -104,8 +104,10 @@ def _minute_nzt(ts: Column) -> Column:
     return F.concat(F.substring(local_text(ts), 1, 16), F.lit(" NZT"))
 
 
-def incident_report(incidents: DataFrame, log: DataFrame, long: DataFrame) -> DataFrame:
-    """One row per incident with header, limits, trigger, first log rows and raw context.
+def incident_report(
+    incidents: DataFrame, log: DataFrame, long: DataFrame, log_rows: int = MAX_LOG_ROWS
+) -> DataFrame:
+    """One row per incident with header, limits, trigger, the first ``log_rows`` log rows and raw context.
 
     Its threshold windows are one row each in :func:`threshold_windows`; a list of them would
     grow with the incident. ``report`` is the row as JSON text.
@@ -124,7 +126,7 @@ def incident_report(incidents: DataFrame, log: DataFrame, long: DataFrame) -> Da
         ).alias("outlier_trigger"),
     )
     logs = (
-        first_logs(matched)
+        first_logs(matched, log_rows)
         .groupBy("incident_id")
         .agg(
             F.array_sort(

@@ -5,21 +5,24 @@ pairing readings with runs is out of the question. Instead each tag's values are
 ``fanout`` buckets of about equal size, and the readings become counts per bucket and time
 cell. The counts slide along the runs as running sums of what enters and what leaves, which
 tells the bucket that holds a wanted rank in each run. Only the readings of the chosen
-buckets are shuffled, copies of a value in a time cell folded into one row, and paired with
-the runs that chose them: a ``1/fanout`` part of the history per run. Long histories are
-narrowed over several levels, the chosen buckets being cut again each time. Every answer is
-an actual reading with the exact rank; the cuts only steer the amount of work.
+buckets are shuffled, and paired with the runs that chose them: a ``1/fanout`` part of the
+history per run. They meet in slices of the time axis, an eighth of a history long: a slice
+that lies whole in a history answers with its counts per value, and only the two slices at the
+history's ends with readings by cell. So a run meets what it needs and little more, however
+long the table, and a frequent tag is many tasks. Long histories are narrowed over several
+levels, the chosen buckets being cut again each time. Every answer is an actual reading with
+the exact rank; the cuts only steer the amount of work.
 """
 
 from __future__ import annotations
 
 from datetime import timedelta
-from math import gcd, log2
+from math import gcd
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gaugewatch.config import RunGrid
-from gaugewatch.functions.columns import percentiles
+from gaugewatch.operators.ranks import cut_groups, cuts_below, nearest_rank
 from gaugewatch.operators.runs import at_minutes, cell_index
 from gaugewatch.schemas import TAG, TS, VALUE
 from gaugewatch.session import stage
@@ -29,6 +32,9 @@ IQR_FENCE = 1.5
 # A further level pays once the pairs of readings and runs outnumber its own counts this often.
 PAIRS_PER_COUNT = 4
 
+# Slices of the time axis in one history.
+SLICES_PER_HISTORY = 8
+
 
 class History:
     """Cell arithmetic of ``[window start - history, window start)`` along a run grid."""
@@ -46,6 +52,10 @@ class History:
     def start(self, run_no: Column) -> Column:
         return self.end(run_no) - self.span
 
+    @property
+    def slice_cells(self) -> int:
+        return max(1, self.span // SLICES_PER_HISTORY)
+
     def first_run(self, cell: Column) -> Column:
         """First run whose history holds the cell."""
         return (F.floor((cell + self.lookback) / self.step) + 1).cast("int")
@@ -72,10 +82,7 @@ class BucketLevel:
 
     def __init__(self, readings: DataFrame, wanted_runs: DataFrame, history: History, fanout: int):
         self.fanout = fanout
-        shares = [i / fanout for i in range(1, fanout)]
-        # Rough cuts will do, and keep the partial sketches of a large tag small.
-        cuts = percentiles(F.col(VALUE), shares, 16 * fanout)
-        self.cuts = stage(readings.groupBy(TAG, "node").agg(cuts.alias("cuts")))
+        self.cuts = stage(cut_groups(readings, [TAG, "node"], VALUE, fanout))
         self.readings = stage(
             readings.join(self.cuts, [TAG, "node"])
             .withColumn("bucket", self.bucket_of(F.col(VALUE)))
@@ -84,13 +91,7 @@ class BucketLevel:
         self.counts = stage(self._slide(wanted_runs, history))
 
     def bucket_of(self, value: Column) -> Column:
-        """How many cuts lie below the value, by binary search."""
-        halves = [1 << i for i in reversed(range(int(log2(self.fanout))))]
-        return F.aggregate(
-            F.array(*[F.lit(h) for h in halves]),
-            F.lit(0),
-            lambda at, half: F.when(F.get("cuts", at + half - 1) < value, at + half).otherwise(at),
-        )
+        return cuts_below(value, self.fanout)
 
     def _slide(self, wanted_runs: DataFrame, history: History) -> DataFrame:
         per_cell = self.readings.groupBy(TAG, "node", "bucket", "cell").agg(F.count(F.lit(1)).alias("n"))
@@ -179,15 +180,31 @@ def _levels_needed(top: BucketLevel) -> int:
     return levels
 
 
+def meet_in_slices(readings: DataFrame, requests: DataFrame, history: History) -> DataFrame:
+    """Pairs of a request and the readings of its node, folded, of every time slice its history touches.
+
+    A slice that the history covers whole has one row per value (``cell`` is null); the slices
+    at its ends have one per cell and value, which may lie outside the history.
+    """
+    size = history.slice_cells
+    sliced = readings.withColumn("slice", F.floor(F.col("cell") / size))
+    counted = F.count(F.lit(1)).alias("n")
+    by_cell = sliced.groupBy(TAG, "node", "slice", "cell", VALUE).agg(counted)
+    by_slice = sliced.groupBy(TAG, "node", "slice", VALUE).agg(counted)
+    start, end = history.start(F.col("run_no")), history.end(F.col("run_no"))
+    touched = F.sequence(F.floor(start / size), F.floor((end - 1) / size))
+    asked = requests.withColumn("slice", F.explode(touched))
+    whole = (F.col("slice") * size >= start) & ((F.col("slice") + 1) * size <= end)
+    keys = [TAG, "node", "slice"]
+    covered = by_slice.join(asked.filter(whole), keys).withColumn("cell", F.lit(None).cast("long"))
+    return by_cell.join(asked.filter(~whole), keys).unionByName(covered)
+
+
 def _in_history(readings: DataFrame, requests: DataFrame, history: History) -> DataFrame:
     """Values of the requests' buckets that lie in their histories, with how often they occur."""
-    folded = (
-        readings.join(requests.select(TAG, "node").distinct(), [TAG, "node"], "left_semi")
-        .groupBy(TAG, "node", "cell", VALUE)
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    chosen = readings.join(requests.select(TAG, "node").distinct(), [TAG, "node"], "left_semi")
     inside = (F.col("cell") >= history.start(F.col("run_no"))) & (F.col("cell") < history.end(F.col("run_no")))
-    return folded.join(requests, [TAG, "node"]).filter(inside)
+    return meet_in_slices(chosen, requests, history).filter(F.col("cell").isNull() | inside)
 
 
 def _values_at(top: BucketLevel, requests: DataFrame, history: History, levels: int) -> DataFrame:
@@ -206,9 +223,10 @@ def _values_at(top: BucketLevel, requests: DataFrame, history: History, levels:
 
 
 def _count_below(top: BucketLevel, requests: DataFrame, history: History, levels: int) -> DataFrame:
-    """(tag, run_no, target, n): readings under each bound; target ``upto`` counts the bound itself."""
+    """(tag, run_no, target, n): readings under each bound; a target that starts with ``upto`` counts the bound itself."""
     readings, requests = _descend(top, requests, history, levels)
-    under = F.when(F.col("target") == "upto", F.col(VALUE) <= F.col("bound")).otherwise(F.col(VALUE) < F.col("bound"))
+    counted = F.col("target").startswith("upto")
+    under = F.when(counted, F.col(VALUE) <= F.col("bound")).otherwise(F.col(VALUE) < F.col("bound"))
     inside = (
         _in_history(readings, requests, history)
         .filter(under)
@@ -246,10 +264,6 @@ def _spread(found: DataFrame, value: str, *targets: str) -> DataFrame:
     )
 
 
-def nearest_rank(share: float, n: Column) -> Column:
-    return F.greatest(F.ceil(F.lit(share) * n), F.lit(1))
-
-
 def fences(q1: Column, q3: Column) -> tuple[Column, Column]:
     reach = (q3 - q1) * IQR_FENCE
     return q1 - reach, q3 + reach
@@ -308,3 +322,37 @@ def fenced_history_percentiles(
         F.col("p1").alias("history_p1"),
         F.col("p99").alias("history_p99"),
     )
+
+
+def ranks_in_history(
+    long: DataFrame,
+    asked: DataFrame,
+    grid: RunGrid,
+    lookback_minutes: int,
+    history: timedelta,
+    fanout: int = 256,
+    levels: int | None = None,
+) -> DataFrame:
+    """tag_name, run_no, target, n_below and n_upto: how many readings of the run's history lie below, and up to, a bound.
+
+    ``asked`` has tag_name, run_no, target and bound, targets being different for each run; runs
+    with an empty history have no row.
+    """
+    span = History(grid, lookback_minutes, int(history / timedelta(minutes=1)))
+    asked = stage(asked.select(TAG, "run_no", "target", F.col("bound").cast("double").alias("bound")))
+    wanted = asked.select(TAG, "run_no", F.lit(0).cast("long").alias("node")).distinct()
+    top = BucketLevel(span.readings(long), wanted, span, fanout)
+    levels = levels or _levels_needed(top)
+    zero = F.lit(0).cast("long")
+    # Whether the bound itself counts goes with the target's name.
+    both = asked.withColumn("side", F.explode(F.array(F.lit("under"), F.lit("upto"))))
+    requests = both.select(
+        TAG, zero.alias("node"), "run_no", F.concat("side", F.lit(":"), "target").alias("target"),
+        F.lit(None).cast("long").alias("rank"), "bound", zero.alias("below"),
+    )
+    found = _count_below(top, requests, span, levels)
+    side, name = F.substring_index("target", ":", 1), F.expr("substring(target, locate(':', target) + 1)")
+    return found.groupBy(TAG, "run_no", name.alias("target")).agg(
+        F.max(F.when(side == "under", F.col("n"))).alias("n_below"),
+        F.max(F.when(side == "upto", F.col("n"))).alias("n_upto"),
+    )

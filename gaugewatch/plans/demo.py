@@ -11,12 +11,12 @@ from gaugewatch.config import FreshnessRule, OutlierRule, RunGrid, StuckValueRul
 from gaugewatch.functions.columns import local_text, tick, to_local
 from gaugewatch.functions.evidence_sql import EvidenceTables, register_functions
 from gaugewatch.functions.noise import add_noise, add_noise_keyed
-from gaugewatch.operators import derived, evidence, incidents as inc, profile, report, reshape
+from gaugewatch.operators import derived, evidence, incidents as inc, profile, report, reshape, sketches
 from gaugewatch.operators.freshness import freshness
 from gaugewatch.operators.outlier import fenced_percentiles, iqr_fences, outlier
 from gaugewatch.operators.runs import tag_runs, window_extrema
 from gaugewatch.operators.stuck import stuck_value
-from gaugewatch.operators.trailing import fenced_history_percentiles
+from gaugewatch.operators.trailing import fenced_history_percentiles, ranks_in_history
 from gaugewatch.plans.monitoring import merge_arrivals, monitor_history
 from gaugewatch.schemas import MONITOR_LOG, TAG, THRESHOLD_FIELDS, TS, VALUE
 from gaugewatch.session import scratch_dir, stage
@@ -33,6 +33,7 @@ from gaugewatch.sources.testdata import (
     table,
 )
 from gaugewatch.streaming.monitors import StagedIncidents, WindowParts, incident_stream, session_approximation
+from gaugewatch.streaming.state import OutlierStream, closing_incidents
 
 STATION, SOURCE = "demo station", "events"
 GRID = RunGrid.hourly(EVENTS_START, EVENTS_END)
@@ -40,7 +41,6 @@ STUCK = StuckValueRule(60, 3, 40.0, ("purchase", "view"))
 STUCK_LONG = StuckValueRule(180, 5, 60.0, ())
 OUTLIER = OutlierRule(60, 7, 1.5)
 FANOUT = 64
-EXACT = 1_000_000
 
 RUN_AT = datetime(2024, 1, 20, 12, 30, 45)
 AS_OF = datetime(2024, 1, 31, 0, 10)
@@ -241,12 +241,12 @@ def q_recent_extrema(spark, sf_dir):
 
 
 def q_iqr_fences(spark, sf_dir):
-    return shown(iqr_fences(events_long(spark, sf_dir), EXACT))
+    return shown(iqr_fences(events_long(spark, sf_dir)))
 
 
 def q_fenced_p1_p99(spark, sf_dir):
     long = events_long(spark, sf_dir)
-    return shown(fenced_percentiles(long, stage(iqr_fences(long, EXACT)), EXACT))
+    return shown(fenced_percentiles(long, stage(iqr_fences(long))))
 
 
 def q_trailing_percentiles(spark, sf_dir):
@@ -258,6 +258,46 @@ def q_trailing_percentiles(spark, sf_dir):
     )
 
 
+SKETCHED_DAYS = 14
+
+
+def q_trailing_sketch(spark, sf_dir):
+    """Percentiles from hourly sketches: the counts, and whether each has a rank within the stated error.
+
+    The ranks of the sketches' answers are counted exactly in the readings.
+    """
+    long, history = events_long(spark, sf_dir), timedelta(days=SKETCHED_DAYS)
+    cells = stage(sketches.sketch_cells(long, GRID, 60))
+    runs = tag_runs(spark, EVENT_TAGS, GRID)
+    found = stage(sketches.trailing_sketch_percentiles(cells, runs, GRID, OUTLIER.lookback_minutes, history))
+    names = ["history_q1", "history_q3", "history_p1", "history_p99", "lower_fence", "upper_fence"]
+    asked = found.select(TAG, "run_no", F.explode(F.array(*[F.struct(F.lit(n).alias("target"), F.col(n).alias("bound")) for n in names])).alias("a"))
+    ranked = ranks_in_history(
+        long, asked.select(TAG, "run_no", "a.target", "a.bound"), GRID, OUTLIER.lookback_minutes, history, FANOUT
+    )
+    at = lambda name, side: F.max(F.when(F.col("target") == name, F.col(side)))
+    sides = [at(n, side).alias(f"{n}_{side}") for n in names for side in ("n_below", "n_upto")]
+    both = found.join(ranked.groupBy(TAG, "run_no").agg(*sides), [TAG, "run_no"])
+    n, error = F.col("history_count"), sketches.rank_error()
+
+    def within(name, wanted, allowed):
+        slack = allowed * n + 1
+        return (F.col(f"{name}_n_below") - slack <= wanted) & (F.col(f"{name}_n_upto") + slack >= wanted)
+
+    under, upto = F.col("lower_fence_n_below"), F.col("upper_fence_n_upto")
+    return shown(
+        both.select(
+            TAG,
+            "run_no",
+            "history_count",
+            within("history_q1", 0.25 * n, error).alias("q1_within"),
+            within("history_q3", 0.75 * n, error).alias("q3_within"),
+            within("history_p1", under + 0.01 * (upto - under), 3 * error).alias("p1_within"),
+            within("history_p99", under + 0.99 * (upto - under), 3 * error).alias("p99_within"),
+        )
+    )
+
+
 _LIMITS = ["recent_min", "recent_max", "history_p1", "history_p99", "lower_threshold", "upper_threshold"]
 
 
@@ -380,15 +420,15 @@ def _event_readings(spark, sf_dir):
 def q_profile_stats(spark, sf_dir):
     readings = _lineitem_readings(spark, sf_dir)
     tags = [*LINEITEM_TAGS, "absent"]
-    return shown(profile.profile_stats(readings, LINEITEM_PERIODS, tags, EXACT), 7)
+    return shown(profile.profile_stats(readings, LINEITEM_PERIODS, tags), 7)
 
 
 def q_profile_stats_with_nulls(spark, sf_dir):
-    return shown(profile.profile_stats(_event_readings(spark, sf_dir), EVENT_PERIODS, EVENT_TAGS, EXACT))
+    return shown(profile.profile_stats(_event_readings(spark, sf_dir), EVENT_PERIODS, EVENT_TAGS))
 
 
 def _trend(spark, sf_dir):
-    return profile.daily_trend(_event_readings(spark, sf_dir), EVENT_PERIODS["baseline"], EXACT)
+    return profile.daily_trend(_event_readings(spark, sf_dir), EVENT_PERIODS["baseline"])
 
 
 def q_daily_trend(spark, sf_dir):
@@ -400,12 +440,12 @@ def q_gap_stats(spark, sf_dir):
 
 
 def q_percentile_shift(spark, sf_dir):
-    stats = profile.profile_stats(_event_readings(spark, sf_dir), EVENT_PERIODS, EVENT_TAGS, EXACT)
+    stats = profile.profile_stats(_event_readings(spark, sf_dir), EVENT_PERIODS, EVENT_TAGS)
     return shown(profile.percentile_shift(stats))
 
 
 def q_drift_long(spark, sf_dir):
-    stats = profile.profile_stats(_event_readings(spark, sf_dir), EVENT_PERIODS, EVENT_TAGS, EXACT)
+    stats = profile.profile_stats(_event_readings(spark, sf_dir), EVENT_PERIODS, EVENT_TAGS)
     return shown(profile.drift_long(stats))
 
 
@@ -473,7 +513,7 @@ def q_tag_profile(spark, sf_dir):
 def _profile_report(spark, sf_dir):
     return profile.tag_profile_report(
         _event_readings(spark, sf_dir), EVENT_TAGS, reshape.catalog_frame(spark, EVENT_TAGS),
-        EVENT_PERIODS["baseline"], EVENT_PERIODS["recent"], EXACT, profile.fixed_histogram,
+        EVENT_PERIODS["baseline"], EVENT_PERIODS["recent"], histogram=profile.fixed_histogram,
     )
 
 
@@ -506,7 +546,7 @@ def q_raw_points_sample(spark, sf_dir):
 
 
 def q_window_stats(spark, sf_dir):
-    return shown(evidence.window_stats(events_long(spark, sf_dir), WORN, *WINDOW, accuracy=EXACT))
+    return shown(evidence.window_stats(events_long(spark, sf_dir), WORN, *WINDOW))
 
 
 def q_phase_stats(spark, sf_dir):
@@ -660,18 +700,58 @@ def q_stream_stuck_value(spark, sf_dir):
         .parquet(sf_dir)
         .select(F.col("ts").cast("timestamp").alias(TS), F.col("event_type").alias(TAG), F.col("value").alias(VALUE))
     )
-    base = f"{scratch_dir(spark)}/stream-{datetime.now():%Y%m%d%H%M%S%f}"
+    base = _stream_folder(spark)
     parts = WindowParts(spark, f"{base}/parts", STUCK)
-    query = (
-        parts.writer(readings)
-        .option("checkpointLocation", f"{base}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    _run_stream(parts.writer(readings), base)
     return shown(parts.read())
 
 
+def _arriving(spark: SparkSession, rows: DataFrame, base: str, by, files: int = 3) -> DataFrame:
+    """The rows as a file stream, one file a batch, each a range of ``by``."""
+    rows.repartitionByRange(files, by).write.parquet(f"{base}/in")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+
+
+def _stream_folder(spark: SparkSession) -> str:
+    return f"{scratch_dir(spark)}/stream-{datetime.now():%Y%m%d%H%M%S%f}"
+
+
+def _run_stream(writer, base: str) -> None:
+    query = writer.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def q_stream_stuck_hourly(spark, sf_dir):
+    """Readings arrive in files; every run of the grid is judged from the parts, skipped ones too."""
+    base = _stream_folder(spark)
+    parts = WindowParts(spark, base, STUCK)
+    _run_stream(parts.writer(_arriving(spark, events_long(spark, sf_dir), base, TS)), base)
+    parts.fold(1)
+    judged = parts.judge(EVENT_TAGS, GRID, STATION, SOURCE)
+    return shown(judged.select(*_RUN, "valid_count", "min_value", "max_value", "range_value"))
+
+
+def q_stream_outlier(spark, sf_dir):
+    """The outlier rule on a stream of files, against the history that the stream has stored."""
+    base = _stream_folder(spark)
+    stream = OutlierStream(spark, base, EVENT_TAGS, GRID, OUTLIER, STATION, SOURCE, fanout=FANOUT)
+    _run_stream(stream.writer(_arriving(spark, events_long(spark, sf_dir), base, TS)), base)
+    stream.finish()
+    return shown(stream.read().select(*_RUN, *_LIMITS))
+
+
+def q_stream_closing_incidents(spark, sf_dir):
+    """Incidents that a timer closes. A row that passed, far behind the end, moves the watermark past the last one."""
+    base = _stream_folder(spark)
+    log = monitor_log(spark, sf_dir)
+    last = {"status": "pass", "window_start": EVENTS_END + timedelta(days=90)}
+    far = spark.createDataFrame([tuple(last.get(name) for name in MONITOR_LOG.fieldNames())], MONITOR_LOG)
+    found = closing_incidents(_arriving(spark, log.unionByName(far), base, F.col("window_start")), "40 days")
+    writer = found.writeStream.format("parquet").option("path", f"{base}/out")
+    _run_stream(writer, base)
+    return shown(spark.read.schema(found.schema).parquet(f"{base}/out"))
+
+
 def q_stream_incidents(spark, sf_dir):
     """The log arrives in time slices; each micro-batch is merged into the stored incidents."""
     base = f"{scratch_dir(spark)}/stream-{datetime.now():%Y%m%d%H%M%S%f}"

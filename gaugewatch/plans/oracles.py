@@ -253,6 +253,7 @@ ORACLES: dict[str, str] = {
     "recent_extrema": f"WITH {_LONG}, {_grid(60)} SELECT g.tag_name, run_no, min(tag_value) AS recent_min, max(tag_value) AS recent_max FROM grid g JOIN long l ON l.tag_name = g.tag_name AND Pi_Timestamp >= window_start AND Pi_Timestamp < window_end GROUP BY ALL",
     "iqr_fences": f"WITH {_LONG}, q AS (SELECT tag_name, quantile_disc(tag_value, 0.25) AS history_q1, quantile_disc(tag_value, 0.75) AS history_q3 FROM long GROUP BY tag_name) SELECT *, round(history_q1 - (history_q3 - history_q1) * 1.5, 8) AS lower_fence, round(history_q3 + (history_q3 - history_q1) * 1.5, 8) AS upper_fence FROM q",
     "fenced_p1_p99": f"WITH {_LONG}, q AS (SELECT tag_name, quantile_disc(tag_value, 0.25) AS q1, quantile_disc(tag_value, 0.75) AS q3 FROM long GROUP BY tag_name) SELECT tag_name, quantile_disc(tag_value, 0.01) AS history_p1, quantile_disc(tag_value, 0.99) AS history_p99 FROM long JOIN q USING (tag_name) WHERE tag_value BETWEEN q1 - (q3 - q1) * 1.5 AND q3 + (q3 - q1) * 1.5 GROUP BY tag_name",
+    "trailing_sketch": f"WITH {_LONG}, {_grid(60)}, {_history(14)} SELECT tag_name, run_no, history_count, true AS q1_within, true AS q3_within, true AS p1_within, true AS p99_within FROM fences",
     "trailing_percentiles": f"WITH {_LONG}, {_grid(60)}, {_history(14)} SELECT f.tag_name, f.run_no, history_count, history_q1, history_q3, round(lower_fence, 8) AS lower_fence, round(upper_fence, 8) AS upper_fence, history_p1, history_p99 FROM fences f LEFT JOIN tails t ON t.tag_name = f.tag_name AND t.run_no = f.run_no",
     "outlier_hourly": f"WITH {_LONG}, {_grid(60)}, {_history(7)}, {_judged('wild')} SELECT {_HOURLY_RUN}, tag_name, window_start, window_end, status, recent_min, recent_max, history_p1, history_p99, round(lower_threshold, 8) AS lower_threshold, round(upper_threshold, 8) AS upper_threshold FROM wild",
     "outlier_single": f"WITH {_LONG}, {_single_grid(30)}, {_history(14)}, {_judged('wild')} SELECT {_SINGLE_RUN}, tag_name, window_start, window_end, status, recent_min, recent_max, history_p1, history_p99, round(lower_threshold, 8) AS lower_threshold, round(upper_threshold, 8) AS upper_threshold, TIMESTAMP '{RUN_AT}' AS create_ts FROM wild",
@@ -353,3 +354,8 @@ SELECT l_orderkey, l_linenumber, round(a, 6) AS HP_VENTURI_STEAM_plus_HP_BRINE,
   round((greatest(a, b, c, d) - least(a, b, c, d)) / nullif((a + b + c + d) / 4, 0), 6) AS relative_spread FROM sums""",
     "stream_incidents": f"WITH {_INCIDENTS} SELECT * FROM ranges",
 }
+
+# A finished stream and the batch agree.
+ORACLES["stream_stuck_hourly"] = ORACLES["stuck_value_hourly"]
+ORACLES["stream_outlier"] = ORACLES["outlier_hourly"]
+ORACLES["stream_closing_incidents"] = ORACLES["incident_merge"]

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from gaugewatch.config import Settings, incident_window
 from gaugewatch.functions.columns import closed, tick
 from gaugewatch.functions.noise import add_noise
+from gaugewatch.operators.incidents import MERGE_GAP_SECONDS, merge_incidents
 from gaugewatch.operators.reshape import history_slice, resolve_tags, wide_to_long
 from gaugewatch.operators.runs import to_log
 from gaugewatch.schemas import FEEDBACK, INCIDENT, MONITOR_LOG, TAG, TS
+from gaugewatch.session import stage
 
 
 def ensure_table(spark: SparkSession, name: str, schema: T.StructType) -> None:
@@ -85,6 +87,91 @@ class IncidentStore:
             self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_v{old}")
 
 
+class LogParts:
+    """Log rows of streams, laid out by stream and batch: writing a batch again replaces its own rows."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name = spark, name
+
+    def ensure(self) -> None:
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in MONITOR_LOG.fields)
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {self.name} ({columns}, stream STRING, batch BIGINT) USING parquet "
+            "PARTITIONED BY (stream, batch)"
+        )
+
+    def has(self, stream: str, batch: int) -> bool:
+        """Whether rows of this batch are there; only its partition is looked at."""
+        own = (F.col("stream") == stream) & (F.col("batch") == batch)
+        return not self.spark.table(self.name).where(own).isEmpty()
+
+    def write(self, judged: DataFrame, stream: str, batch: int) -> None:
+        rows = to_log(judged).withColumns({"stream": F.lit(stream), "batch": F.lit(batch).cast("bigint")})
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(self.name)
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.name).select(MONITOR_LOG.fieldNames())
+
+    def read_stream(self, stream: str) -> DataFrame:
+        """The rows of one stream; other partitions are not looked at."""
+        return self.spark.table(self.name).where(F.col("stream") == stream).select(MONITOR_LOG.fieldNames())
+
+
+class MonthlyIncidents:
+    """The incident table laid out by the months in which incidents start and end.
+
+    A merge reads only the partitions that the new rows can reach, however old the table, and
+    rewrites only those in which a row changed. Should it be lost before a partition that has
+    become empty is dropped, the next merge joins the same incidents again.
+    """
+
+    _MONTHS = ["start_month", "end_month"]
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name = spark, name
+
+    def ensure(self) -> None:
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in INCIDENT.fields)
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {self.name} ({columns}, start_month STRING, end_month STRING) USING parquet "
+            "PARTITIONED BY (start_month, end_month)"
+        )
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.name).select(INCIDENT.fieldNames())
+
+    def _with_months(self, incidents: DataFrame) -> DataFrame:
+        month = lambda ts: F.date_format(ts, "yyyy-MM")
+        rows = incidents.select(INCIDENT.fieldNames())
+        return rows.withColumns({"start_month": month("incident_start"), "end_month": month("incident_end")})
+
+    def reached(self, rows: DataFrame, gap_seconds: int = MERGE_GAP_SECONDS) -> DataFrame:
+        """Stored incidents of the months that the log rows, and the gap around them, touch."""
+        gap = F.expr(f"INTERVAL {gap_seconds} SECONDS")
+        month = lambda ts: F.date_format(ts, "yyyy-MM")
+        first, last = rows.agg(month(F.min("window_start") - gap), month(F.max("window_end") + gap)).first()
+        touched = (F.col("end_month") >= F.lit(first)) & (F.col("start_month") <= F.lit(last))
+        return self.spark.table(self.name).where(F.coalesce(touched, F.lit(False)))
+
+    def merge(self, rows: DataFrame, gap_seconds: int = MERGE_GAP_SECONDS) -> list[tuple[str, str]]:
+        """Merge the failed ones of some log rows, each given once or again; returns the partitions rewritten."""
+        rows = stage(rows.where(F.col("status") == "failed"))
+        if rows.isEmpty():
+            return []
+        old = stage(self.reached(rows, gap_seconds))
+        merged = merge_incidents(rows, old.select(INCIDENT.fieldNames()), gap_seconds, only_newer=False)
+        new = stage(self._with_months(merged).select(old.columns))
+        # A handful of months: those of the rows that came or went.
+        changed = new.exceptAll(old).union(old.exceptAll(new)).select(*self._MONTHS).distinct()
+        months = [tuple(r) for r in changed.collect()]
+        kept = new.join(F.broadcast(changed), self._MONTHS, "left_semi").select(old.columns)
+        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(self.name)
+        filled = {tuple(r) for r in kept.select(*self._MONTHS).distinct().collect()}
+        for start, end in set(months) - filled:
+            self.spark.sql(f"ALTER TABLE {self.name} DROP IF EXISTS PARTITION (start_month='{start}', end_month='{end}')")
+        return sorted(months)
+
+
 def describe_columns(df: DataFrame) -> list[tuple[str, str]]:
     """Columns and types in order."""
     return [(field.name, field.dataType.simpleString()) for field in df.schema.fields]

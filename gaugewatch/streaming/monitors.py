@@ -7,18 +7,20 @@ over the same rows agree.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from gaugewatch.config import FreshnessRule, StuckValueRule
+from gaugewatch.config import FreshnessRule, RunGrid, StuckValueRule
 from gaugewatch.functions.columns import blank_zero
 from gaugewatch.operators.freshness import freshness
 from gaugewatch.operators.incidents import MERGE_GAP_SECONDS, merge_incidents
+from gaugewatch.operators.runs import origin_seconds
+from gaugewatch.operators.stuck import stuck_value
 from gaugewatch.schemas import INCIDENT, INCIDENT_KEYS, LONG, TAG, TS, VALUE
 from gaugewatch.session import stage
-from gaugewatch.sources.tables import IncidentStore, append_log
+from gaugewatch.sources.tables import IncidentStore, LogParts, MonthlyIncidents
 
 
 def tumbling_extrema(
@@ -71,31 +73,118 @@ class WindowParts:
     Each micro-batch leaves its counts, minima and maxima per tag and window in a folder of
     its own number, so a replayed batch writes the same folder again. Windows are merged from
     their parts when they are read; one that is still filling shows what it has so far.
+    :meth:`fold` keeps the number of parts small, :meth:`judge` and :meth:`judge_on_timer` report the windows
+    of a run grid that had no readings.
     """
 
     def __init__(self, spark: SparkSession, folder: str, rule: StuckValueRule):
         self.spark, self.folder, self.rule = spark, folder, rule
+        # Parts without rows let the windows be read before the first batch.
+        empty = self._part(spark.createDataFrame([], LONG))
+        empty.write.mode("overwrite").parquet(f"{folder}/parts/batch=-1")
+        empty.withColumn("folded", F.lit(None).cast("int")).write.mode("overwrite").parquet(f"{folder}/folded/upto=-1")
 
     def _part(self, readings: DataFrame) -> DataFrame:
         return tumbling_extrema(readings, self.rule.lookback_minutes, "0 seconds", self.rule.zero_filtered_tags)
 
-    def writer(self, readings: DataFrame) -> DataStreamWriter:
-        # A folder without rows lets the windows be read before the first batch.
-        empty = self._part(self.spark.createDataFrame([], LONG))
-        empty.write.mode("overwrite").parquet(f"{self.folder}/batch=-1")
-
-        def keep(batch: DataFrame, batch_id: int) -> None:
-            self._part(batch).write.mode("overwrite").parquet(f"{self.folder}/batch={batch_id}")
+    def keep(self, batch: DataFrame, batch_id: int) -> None:
+        self._part(batch).write.mode("overwrite").parquet(f"{self.folder}/parts/batch={batch_id}")
 
-        return readings.writeStream.foreachBatch(keep)
+    def writer(self, readings: DataFrame) -> DataStreamWriter:
+        return readings.writeStream.foreachBatch(self.keep)
+
+    def _folded_upto(self) -> int:
+        folded = self.spark.read.parquet(f"{self.folder}/folded")
+        return folded.agg(F.coalesce(F.max("folded"), F.lit(-1))).first()[0]
+
+    def windows(self) -> DataFrame:
+        """Count, minimum and maximum of every window that has readings."""
+        upto = self._folded_upto()
+        parts = self.spark.read.parquet(f"{self.folder}/parts").where(F.col("batch") > upto).drop("batch")
+        folded = self.spark.read.parquet(f"{self.folder}/folded").where(F.col("upto") == upto).drop("upto", "folded")
+        windows = parts.unionByName(folded).where(F.col(TAG).isNotNull()).groupBy(TAG, "window_start", "window_end")
+        return windows.agg(
+            F.sum("valid_count").alias("valid_count"), F.min("min_value").alias("min_value"), F.max("max_value").alias("max_value")
+        )
 
-    def read(self) -> DataFrame:
-        """The judged windows of all batches so far."""
-        windows = self.spark.read.parquet(self.folder).groupBy(TAG, "window_start", "window_end")
-        merged = windows.agg(
+    def fold(self, upto: int) -> None:
+        """Merge the parts of all batches up to ``upto`` into one row per window.
+
+        The newest complete folding counts, so a lost job changes nothing; parts and foldings
+        that it replaces are no longer read and may be deleted (:meth:`unread`).
+        """
+        before = self._folded_upto()
+        if upto <= before:
+            return
+        parts = self.spark.read.parquet(f"{self.folder}/parts").where((F.col("batch") > before) & (F.col("batch") <= upto))
+        folded = self.spark.read.parquet(f"{self.folder}/folded").where(F.col("upto") == before)
+        merged = parts.drop("batch").unionByName(folded.drop("upto", "folded")).where(F.col(TAG).isNotNull())
+        merged = merged.groupBy(TAG, "window_start", "window_end").agg(
             F.sum("valid_count").alias("valid_count"), F.min("min_value").alias("min_value"), F.max("max_value").alias("max_value")
         )
-        return judge_windows(merged, self.rule)
+        # A row without window names the folding; it is there when all of it is.
+        mark = self.spark.range(1).select(F.lit(upto).alias("folded"))
+        rows = merged.unionByName(mark, allowMissingColumns=True)
+        rows.write.mode("overwrite").parquet(f"{self.folder}/folded/upto={upto}")
+
+    def unread(self) -> list[str]:
+        """Folders that no reader looks at any more."""
+        upto = self._folded_upto()
+        names = {"parts": "batch", "folded": "upto"}
+        out = []
+        for kind, column in names.items():
+            numbers = self.spark.read.parquet(f"{self.folder}/{kind}").select(column).distinct().collect()
+            gone = [n for (n,) in numbers if (n <= upto if kind == "parts" else n < upto) and n >= 0]
+            out += [f"{self.folder}/{kind}/{column}={n}" for n in sorted(gone)]
+        return out
+
+    def read(self) -> DataFrame:
+        """The judged windows of all batches so far that have readings."""
+        return judge_windows(self.windows(), self.rule)
+
+    def judge(self, tags: list[str], grid: RunGrid, station: str, source_table: str) -> DataFrame:
+        """Every tag in every run of the grid, from the parts: a window without readings is ``skipped``.
+
+        The runs' windows must be the tumbling ones, one after the other.
+        """
+        if grid.step_minutes != self.rule.lookback_minutes:
+            raise ValueError("runs must be as far apart as their windows are long")
+        ended = (F.unix_seconds("window_end") - origin_seconds(grid)) / (60 * grid.step_minutes)
+        extrema = self.windows().withColumn("run_no", ended.cast("int"))
+        return stuck_value(self.spark.createDataFrame([], LONG), tags, grid, self.rule, station, source_table, extrema)
+
+    def judge_on_timer(
+        self,
+        tags: list[str],
+        grid: RunGrid,
+        station: str,
+        source_table: str,
+        log: LogParts,
+        clock: Callable[[], datetime] | None = None,
+        settle: timedelta = timedelta(0),
+        every: str = "5 minutes",
+    ) -> DataStreamWriter:
+        """Write the log of runs that ended, ``settle`` ago, since the tick before, with or without readings.
+
+        Each tick's rows are kept by its number, so a replayed tick writes its runs once.
+        """
+        clock, stream = clock or _utc_now, f"stuck_value/{station}/{source_table}"
+        log.ensure()
+
+        def tick(_tick: DataFrame, batch_id: int) -> None:
+            if log.has(stream, batch_id):
+                return
+            step = timedelta(minutes=grid.step_minutes)
+            done = log.read_stream(stream).agg(F.max("window_end")).first()[0]
+            first = (done - grid.origin) // step + 1 if done else 1
+            last = min(grid.count, (clock() - settle - grid.origin) // step)
+            if first > last:
+                return
+            part = RunGrid(grid.origin + step * (first - 1), last - first + 1, grid.step_minutes, grid.run_offset)
+            log.write(self.judge(tags, part, station, source_table), stream, batch_id)
+
+        ticks = self.spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
+        return ticks.writeStream.foreachBatch(tick).trigger(processingTime=every)
 
 
 def incident_stream(
@@ -119,6 +208,12 @@ def incident_stream_to_store(log: DataFrame, store: IncidentStore) -> DataStream
     return incident_stream(log, store.read, store.replace)
 
 
+def incident_stream_to_months(log: DataFrame, store: MonthlyIncidents) -> DataStreamWriter:
+    """Each micro-batch reads and rewrites only the months that its rows touch."""
+    store.ensure()
+    return log.writeStream.foreachBatch(lambda batch, _batch_id: store.merge(batch) and None)
+
+
 class StagedIncidents:
     """Incident state kept as staged files, for a stream without a catalog table."""
 
@@ -149,12 +244,19 @@ def freshness_stream(
     """Log the freshness of a table ``every`` so often, whether or not anything arrives.
 
     A timer drives it: each tick judges the newest time that ``read`` shows by then, so a dead
-    feed is reported, and old rows that come after newer ones change nothing.
+    feed is reported, and old rows that come after newer ones change nothing. ``log_table`` is
+    a :class:`LogParts` table, where each tick has its own rows, once.
     """
 
-    def check(_tick: DataFrame, _batch_id: int) -> None:
+    log, stream = LogParts(spark, log_table), f"freshness/{station}/{source_table}"
+    log.ensure()
+
+    def check(_tick: DataFrame, batch_id: int) -> None:
+        # A tick that is run again after a failure was judged at its own time.
+        if log.has(stream, batch_id):
+            return
         now = clock()
-        append_log(freshness(read(), rule, now, station, source_table, now), log_table)
+        log.write(freshness(read(), rule, now, station, source_table, now), stream, batch_id)
 
     ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
     return ticks.writeStream.foreachBatch(check).trigger(processingTime=every)

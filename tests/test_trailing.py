@@ -108,3 +108,24 @@ def test_grid_agrees_with_single_runs(spark, long_frame):
         )
         for row in single.select(columns).collect():
             assert row == batch[row.run_id, row.tag_name]
+
+
+def test_slices_make_few_pairs_that_are_not_kept(spark, long_frame, monkeypatch):
+    """A run meets at most twice the folded readings of its history, however long the table."""
+    made, meet = [], trailing.meet_in_slices
+
+    def counting(readings, requests, history):
+        pairs = meet(readings, requests, history)
+        inside = (pairs["cell"] >= history.start(pairs["run_no"])) & (pairs["cell"] < history.end(pairs["run_no"]))
+        made.append((pairs.count(), pairs.filter(pairs["cell"].isNull() | inside).count()))
+        return pairs
+
+    monkeypatch.setattr(trailing, "meet_in_slices", counting)
+    draw = random.Random(2)
+    # Two weeks of readings against histories of eight hours.
+    rows = [("hot", draw.uniform(-600, 20_000), draw.gauss(0, 5)) for _ in range(4000)]
+    grid = RunGrid(START, 300, 60)
+    assert found(spark, long_frame(rows), ["hot"], grid, 60, 480, fanout=4, levels=1)
+    assert len(made) == 3
+    for pairs, kept in made:
+        assert kept <= pairs <= 2 * kept
