@@ -25,6 +25,8 @@ from gaugewatch.schemas import TAG, VALUE
 
 #: The size parameter of a sketch.
 K = 1600
+#: A sketch is asked for this many evenly spaced quantiles to find the rank of a fence, since Spark answers constant ranks only.
+STEPS = 1000
 
 
 def rank_error(k: int = K) -> float:
@@ -32,6 +34,11 @@ def rank_error(k: int = K) -> float:
     return 3 * 2.296 / k**0.9723
 
 
+def tail_error(k: int = K) -> float:
+    """The rank error of p1 and p99: two fences and the quantile itself, each off by a sketch's error and a step."""
+    return 3 * (rank_error(k) + 1 / STEPS)
+
+
 def sketch_cells(long: DataFrame, grid: RunGrid, cell_minutes: int, k: int = K) -> DataFrame:
     """tag_name, cell, n and sketch of the non-null readings of each time cell, relative to the grid's origin.
 
@@ -80,18 +87,21 @@ def trailing_sketch_percentiles(
     """The columns of ``fenced_history_percentiles``, from the stored sketches of ``History.cell_minutes`` cells.
 
     Quartiles are off by ``rank_error``; p1 and p99 are taken at the ranks that the fences
-    have in the same sketch, and are off by three times that at most.
+    have among ``STEPS`` quantiles of the same sketch, and are off by ``tail_error`` at most.
     """
     span = History(grid, lookback_minutes, int(history / timedelta(minutes=1)))
     merged = trailing_sketches(cells, tag_run_grid, span)
-    at = lambda share: F.kll_sketch_get_quantile_double("sketch", share)
-    quartiles = merged.withColumn("history_q1", at(F.lit(0.25))).withColumn("history_q3", at(F.lit(0.75)))
+    places = F.lit([i / STEPS for i in range(STEPS + 1)])
+    spread = merged.select(TAG, "run_no", "n", F.kll_sketch_get_quantile_double("sketch", places).alias("steps"))
+    at = lambda place: F.element_at("steps", (F.round(place) + 1).cast("int"))
+    quartiles = spread.withColumn("history_q1", at(F.lit(STEPS / 4))).withColumn("history_q3", at(F.lit(STEPS * 3 / 4)))
     lower, upper = fences(F.col("history_q1"), F.col("history_q3"))
     bounds = quartiles.withColumn("lower_fence", lower).withColumn("upper_fence", upper)
-    under = F.kll_sketch_get_rank_double("sketch", F.col("lower_fence"))
-    upto = F.kll_sketch_get_rank_double("sketch", F.col("upper_fence"))
+    # The places of the first and the last quantile within the fences; quartiles always are.
+    under = F.size(F.filter("steps", lambda v: v < F.col("lower_fence")))
+    upto = F.size(F.filter("steps", lambda v: v <= F.col("upper_fence"))) - 1
     ranked = bounds.withColumn("under", under).withColumn("upto", upto)
-    inside = lambda share: F.least(F.col("under") + (F.col("upto") - F.col("under")) * share, F.lit(1.0))
+    inside = lambda share: F.col("under") + (F.col("upto") - F.col("under")) * share
     return ranked.select(
         TAG,
         "run_no",

@@ -278,7 +278,7 @@ def q_trailing_sketch(spark, sf_dir):
     at = lambda name, side: F.max(F.when(F.col("target") == name, F.col(side)))
     sides = [at(n, side).alias(f"{n}_{side}") for n in names for side in ("n_below", "n_upto")]
     both = found.join(ranked.groupBy(TAG, "run_no").agg(*sides), [TAG, "run_no"])
-    n, error = F.col("history_count"), sketches.rank_error()
+    n, error, tail = F.col("history_count"), sketches.rank_error(), sketches.tail_error()
 
     def within(name, wanted, allowed):
         slack = allowed * n + 1
@@ -292,8 +292,8 @@ def q_trailing_sketch(spark, sf_dir):
             "history_count",
             within("history_q1", 0.25 * n, error).alias("q1_within"),
             within("history_q3", 0.75 * n, error).alias("q3_within"),
-            within("history_p1", under + 0.01 * (upto - under), 3 * error).alias("p1_within"),
-            within("history_p99", under + 0.99 * (upto - under), 3 * error).alias("p99_within"),
+            within("history_p1", under + 0.01 * (upto - under), tail).alias("p1_within"),
+            within("history_p99", under + 0.99 * (upto - under), tail).alias("p99_within"),
         )
     )
 

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+_shipped: set[str] = set()
+
 
 def build_session(app_name: str = "gaugewatch", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings every operator here assumes."""
@@ -34,6 +38,20 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package's modules to the executors, once for each application: Python functions run there need them."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="gaugewatch-modules-")) / "gaugewatch_modules.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
 def local_frame(spark: SparkSession, rows: list[tuple], schema: StructType) -> DataFrame:
     """A few driver-side rows as a relation whose size the optimizer knows."""
     columns = list(zip(*rows)) or [()] * len(schema)

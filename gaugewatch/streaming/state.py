@@ -22,7 +22,7 @@ from gaugewatch.operators.incidents import MERGE_GAP_SECONDS, incident_id
 from gaugewatch.operators.outlier import outlier
 from gaugewatch.operators.runs import of_tags
 from gaugewatch.schemas import INCIDENT, INCIDENT_KEYS, LONG, TAG, THRESHOLD_FIELDS, TS
-from gaugewatch.session import stage
+from gaugewatch.session import ship, stage
 
 
 # ---- parts of a folder -------------------------------------------------------------------------------
@@ -183,6 +183,7 @@ def closing_incidents(log: DataFrame, delay: str, gap_seconds: int = MERGE_GAP_S
     merge gives; later ones are dropped by Spark, which counts them (``LateCounter``). The
     watermark is that of window starts, so nothing still to come can touch a closed chain.
     """
+    ship(log.sparkSession)
     gap = gap_seconds * 1_000_000
     timed = log.withWatermark("window_start", delay)
     # One condition that also names the time: rows that passed must move the watermark too.
