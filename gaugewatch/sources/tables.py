@@ -87,6 +87,10 @@ class IncidentStore:
             self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_v{old}")
 
 
+#: Writing to such a table replaces the partitions written to, and no other, whatever the session's setting.
+_OWN_PARTITIONS = "USING parquet OPTIONS (partitionOverwriteMode 'dynamic')"
+
+
 class LogParts:
     """Log rows of streams, laid out by stream and batch: writing a batch again replaces its own rows."""
 
@@ -96,7 +100,7 @@ class LogParts:
     def ensure(self) -> None:
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in MONITOR_LOG.fields)
         self.spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.name} ({columns}, stream STRING, batch BIGINT) USING parquet "
+            f"CREATE TABLE IF NOT EXISTS {self.name} ({columns}, stream STRING, batch BIGINT) {_OWN_PARTITIONS} "
             "PARTITIONED BY (stream, batch)"
         )
 
@@ -107,7 +111,7 @@ class LogParts:
 
     def write(self, judged: DataFrame, stream: str, batch: int) -> None:
         rows = to_log(judged).withColumns({"stream": F.lit(stream), "batch": F.lit(batch).cast("bigint")})
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(self.name)
+        rows.write.mode("overwrite").insertInto(self.name)
 
     def read(self) -> DataFrame:
         return self.spark.table(self.name).select(MONITOR_LOG.fieldNames())
@@ -133,7 +137,7 @@ class MonthlyIncidents:
     def ensure(self) -> None:
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in INCIDENT.fields)
         self.spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.name} ({columns}, start_month STRING, end_month STRING) USING parquet "
+            f"CREATE TABLE IF NOT EXISTS {self.name} ({columns}, start_month STRING, end_month STRING) {_OWN_PARTITIONS} "
             "PARTITIONED BY (start_month, end_month)"
         )
 
@@ -165,7 +169,7 @@ class MonthlyIncidents:
         changed = new.exceptAll(old).union(old.exceptAll(new)).select(*self._MONTHS).distinct()
         months = [tuple(r) for r in changed.collect()]
         kept = new.join(F.broadcast(changed), self._MONTHS, "left_semi").select(old.columns)
-        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(self.name)
+        kept.write.mode("overwrite").insertInto(self.name)
         filled = {tuple(r) for r in kept.select(*self._MONTHS).distinct().collect()}
         for start, end in set(months) - filled:
             self.spark.sql(f"ALTER TABLE {self.name} DROP IF EXISTS PARTITION (start_month='{start}', end_month='{end}')")
