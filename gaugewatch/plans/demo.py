@@ -20,6 +20,7 @@ from gaugewatch.operators.trailing import fenced_history_percentiles, ranks_in_h
 from gaugewatch.plans.monitoring import merge_arrivals, monitor_history
 from gaugewatch.schemas import MONITOR_LOG, TAG, THRESHOLD_FIELDS, TS, VALUE
 from gaugewatch.session import scratch_dir, stage
+from gaugewatch.sources import quarantine
 from gaugewatch.sources.readings import map_fields
 from gaugewatch.sources.tables import incident_history, lay_out_long
 from gaugewatch.sources.testdata import (
@@ -32,6 +33,7 @@ from gaugewatch.sources.testdata import (
     lineitem_wide,
     table,
 )
+from gaugewatch.streaming.late import LateRows
 from gaugewatch.streaming.monitors import StagedIncidents, WindowParts, incident_stream, session_approximation
 from gaugewatch.streaming.state import OutlierStream, closing_incidents
 
@@ -187,6 +189,43 @@ def q_map_fields(spark, sf_dir):
     return shown(mapped.select(TS, "Net_Power", "Vacuum_Pump_40_Current", "LP_STEAM_PRESSURE_2", "Humidity"))
 
 
+FEED = {"Event Number": "event_id", "Net Power": "Net_Power", "Lp Demister Steam Pressure": "LP_STEAM_PRESSURE_2"}
+
+
+def _feed_lines(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of JSON lines from events, some of them cut off, without time, or with text for numbers."""
+    number, value = F.col("event_id"), F.col("value").cast("string")
+    stamp = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'9Z'")
+    record = F.struct(
+        number.alias("Event Number"),
+        F.when(number % 5 == 0, "No Data").otherwise(value).alias("Net Power"),
+        F.when(number % 3 == 0, "Bad").when(number % 3 == 1, value).alias("LP_STEAM_PRESSURE_2"),
+        F.when(number % 7 == 0, "not a time").when(number % 7 != 1, stamp).alias("Timestamp"),
+    )
+    line = F.to_json(record)
+    cut = F.when(number % 11 == 0, F.expr("substring(line, 1, length(line) - 4)")).otherwise(F.col("line"))
+    folder = f"{scratch_dir(spark)}/feed-{datetime.now():%Y%m%d%H%M%S%f}"
+    rows = table(spark, sf_dir, "events").select("event_id", line.alias("line")).select(cut.alias("value"))
+    rows.write.text(folder)
+    return folder
+
+
+def q_load_json(spark, sf_dir):
+    """Every record of the feed: loaded or not, its values, and what was wrong with it."""
+    feed = quarantine.read_feed(spark.read, _feed_lines(spark, sf_dir), FEED, lines=True, names="*.txt")
+    examined = quarantine.examine(feed, FEED)
+    good = quarantine.loaded(examined).select("event_id", TS, "Net_Power", "LP_STEAM_PRESSURE_2", F.lit(True).alias("loaded"))
+    # A record that is no JSON still shows its number.
+    number = F.regexp_extract("record", '"Event Number":"?([0-9]+)', 1).try_cast("double").alias("event_id")
+    reason = F.transform("problems", lambda p: F.concat_ws(":", F.coalesce(p["field"], F.lit("-")), p["reason"], p["found"]))
+    bad = quarantine.rejects(examined).select(number, F.concat_ws(",", reason).alias("problems"), F.col("loaded").alias("kept"))
+    both = good.join(bad, "event_id", "full")
+    return shown(both.select(
+        F.col("event_id").cast("long").alias("event_id"), TS, "Net_Power", "LP_STEAM_PRESSURE_2",
+        F.coalesce("loaded", "kept").alias("loaded"), F.coalesce("problems", F.lit("")).alias("problems"),
+    ))
+
+
 def q_add_noise(spark, sf_dir):
     """Per tag: rows, rows with noise in bounds, and whether most rows moved."""
     return _noise_check(events_long(spark, sf_dir), lambda df: add_noise(df))
@@ -731,6 +770,27 @@ def q_stream_stuck_hourly(spark, sf_dir):
     return shown(judged.select(*_RUN, "valid_count", "min_value", "max_value", "range_value"))
 
 
+LATE_DELAY = timedelta(days=5)
+ARRIVALS = (datetime(2024, 1, 11), datetime(2024, 1, 21))
+
+
+def q_late_readings(spark, sf_dir):
+    """Readings come in three batches, some with the last one: those whose window was closed by then."""
+    base = _stream_folder(spark)
+    parts = WindowParts(spark, f"{base}/parts", STUCK)
+    late = LateRows(spark, base, 60, LATE_DELAY, parts.keep)
+    events = table(spark, sf_dir, "events").withColumn("moment", F.col("ts").cast("timestamp"))
+    batch = F.when(F.col("event_id") % 50 == 7, 2).when(F.col("moment") < ARRIVALS[0], 0).when(F.col("moment") < ARRIVALS[1], 1)
+    rows = events.select(
+        F.col("moment").alias(TS), F.col("event_type").alias(TAG), F.col("value").alias(VALUE),
+        F.coalesce(batch, F.lit(2)).alias("batch"),
+    )
+    for number in range(3):
+        late.keep(rows.where(F.col("batch") == number).drop("batch"), number)
+    totals = late.counts().select("batch", "arrived", "late")
+    return shown(late.read().join(totals, "batch").select("batch", TS, TAG, VALUE, "watermark", "arrived", "late"))
+
+
 def q_stream_outlier(spark, sf_dir):
     """The outlier rule on a stream of files, against the history that the stream has stored."""
     base = _stream_folder(spark)

@@ -245,6 +245,18 @@ ORACLES: dict[str, str] = {
   CASE WHEN event_type = 'error' THEN NULL ELSE value END AS Net_Power,
   CASE WHEN event_type = 'click' THEN value END AS Vacuum_Pump_40_Current,
   value AS LP_STEAM_PRESSURE_2, NULL::DOUBLE AS Humidity FROM events""",
+    "load_json": """WITH f AS (SELECT *, event_id % 11 = 0 AS cut, event_id % 11 <> 0 AND event_id % 7 > 1 AS good FROM events)
+SELECT event_id, CASE WHEN good THEN ts END AS Pi_Timestamp, CASE WHEN good AND event_id % 5 <> 0 THEN value END AS Net_Power,
+  CASE WHEN good AND event_id % 3 = 1 THEN value END AS LP_STEAM_PRESSURE_2, good AS loaded,
+  CASE WHEN cut THEN '-:not JSON' ELSE concat_ws(',',
+    CASE event_id % 7 WHEN 0 THEN 'Pi_Timestamp:not a time:not a time' WHEN 1 THEN 'Pi_Timestamp:no time' END,
+    CASE WHEN event_id % 5 = 0 THEN 'Net_Power:not a number:No Data' END,
+    CASE WHEN event_id % 3 = 0 THEN 'LP_STEAM_PRESSURE_2:not a number:Bad' END) END AS problems FROM f""",
+    "late_readings": """WITH b AS (SELECT *, CASE WHEN event_id % 50 = 7 OR ts >= TIMESTAMP '2024-01-21' THEN 2 WHEN ts < TIMESTAMP '2024-01-11' THEN 0 ELSE 1 END AS batch FROM events),
+m AS (SELECT n.batch, (SELECT max(ts) FROM b WHERE b.batch < n.batch) - INTERVAL 5 DAY AS watermark FROM (SELECT DISTINCT batch FROM b) n),
+l AS (SELECT b.*, watermark, coalesce(date_trunc('hour', ts) + INTERVAL 1 HOUR <= watermark, false) AS behind FROM b JOIN m USING (batch)),
+c AS (SELECT batch, count(*) AS arrived, count(*) FILTER (behind) AS late FROM l GROUP BY batch)
+SELECT batch, ts AS Pi_Timestamp, event_type AS tag_name, value AS tag_value, watermark, arrived, late FROM l JOIN c USING (batch) WHERE behind""",
     "add_noise": "SELECT event_type AS tag_name, count(*) AS row_count, count(*) AS rows_in_bounds, true AS mostly_moved FROM events GROUP BY 1",
     "add_noise_keyed": "SELECT event_type AS tag_name, count(*) AS row_count, count(*) AS rows_in_bounds, true AS mostly_moved, count(*) AS rows_alike FROM events GROUP BY 1",
     "stuck_value_hourly": f"WITH {_LONG}, {_grid(60)}, {_stuck('stuck', 60, 3, 40.0, _ZERO)} SELECT {_HOURLY_RUN}, {_STUCK_COLUMNS} FROM stuck",
