@@ -98,8 +98,9 @@ def top_k(
     Returns query_id, rank from 1, vec_id, score. Every row but the query's own id is a
     candidate; ties go to the smaller id. Rows with a null id, a null vector, or null or
     non-finite components take no part; a shorter vector counts as filled up with zeros;
-    repeated rows count as often as they stand there. Scores outside a long are held at its
-    limits. No queries or no candidates give no rows.
+    repeated rows count as often as they stand there, and each of several query rows that share
+    an id gets its own ``k``. Scores outside a long are held at its limits. No queries or no
+    candidates give no rows.
 
     Query blocks of bounded size meet candidate blocks of bounded size, one task for each
     pair, and each pair passes on k rows a query. The driver gets counts and ``PIVOTS`` vectors.
@@ -110,7 +111,8 @@ def top_k(
         F.col(vector).cast("array<double>").alias("embedding"),
         F.coalesce(is_query, F.lit(False)).alias("asks"),
     ).where(F.col("vec_id").isNotNull() & usable("embedding"))
-    usual = stage(usual)
+    # A number tells query rows of one id apart; it is written, so it stays the same.
+    usual = stage(usual.withColumn("row", F.monotonically_increasing_id()))
     total = usual.agg(
         F.count("*"), F.count(F.when(F.col("asks"), 1)), F.coalesce(F.max(F.size("embedding")), F.lit(0))
     ).first()
@@ -130,20 +132,23 @@ def top_k(
             pivots,
             k,
         )
-        out = [(np.full(len(ids), q), ids, scores) for q, ids, scores, _ in found]
-        columns = [np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int64) for i in range(3)]
-        return pa.table([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
+        out = [
+            (np.full(len(ids), row), np.full(len(ids), q), ids, scores)
+            for row, (q, ids, scores, _) in zip(queries["row"].to_pylist(), found)
+        ]
+        columns = [np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int64) for i in range(4)]
+        return pa.table([pa.array(c, pa.int64()) for c in columns], ["query_row", "query_id", "vec_id", "score"])
 
     candidate_side, query_side = (F.pmod(F.xxhash64("vec_id", F.lit(i)), F.lit(n)) for i, n in enumerate(sides))
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     as_candidates = usual.select(
-        "vec_id", "embedding", F.lit(False).alias("asks"), candidate_side.cast("int").alias("c"), all_of(sides[1]).alias("q")
+        "vec_id", "embedding", F.lit(False).alias("asks"), "row", candidate_side.cast("int").alias("c"), all_of(sides[1]).alias("q")
     )
     as_queries = usual.where("asks").select(
-        F.col("vec_id"), "embedding", "asks", all_of(sides[0]).alias("c"), query_side.cast("int").alias("q")
+        F.col("vec_id"), "embedding", "asks", "row", all_of(sides[0]).alias("c"), query_side.cast("int").alias("q")
     )
     pairs = as_candidates.unionByName(as_queries).groupBy("c", "q")
-    found = pairs.applyInArrow(search, "query_id long, vec_id long, score long").where(F.col("query_id").isNotNull())
-    best_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = pairs.applyInArrow(search, "query_row long, query_id long, vec_id long, score long").where(F.col("query_id").isNotNull())
+    best_first = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     ranked = found.select("query_id", F.row_number().over(best_first).alias("rank"), "vec_id", "score")
     return ranked.where(F.col("rank") <= k)
