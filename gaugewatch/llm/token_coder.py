@@ -143,7 +143,6 @@ def encode(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
     lengths = _lengths(len(ids), lanes)
     starts = np.cumsum(lengths) - lengths
     mixer = Mixer(vocabulary, lanes)
-    ids = ids.astype(np.int64)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
     given = np.zeros(lanes, np.int64)
     out_lanes: list[np.ndarray] = []
@@ -171,7 +170,7 @@ def encode(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
     for step in range(steps):
         # Longer lanes come first.
         n = int(np.count_nonzero(lengths > step))
-        now = ids[starts[:n] + step]
+        now = ids[starts[:n] + step].astype(np.int64)
         state = mixer.predict(n)
         order = 2 - (now == mixer.second)
         order[now == mixer.first] = 0
@@ -212,7 +211,7 @@ def decode(counts: np.ndarray, digits: np.ndarray, n_ids: int, vocabulary: int)
     value = digits[at] << SHIFT | digits[at + 1]
     at += 2
     span = np.full(lanes, 2**64 - 1, np.uint64)
-    found = np.empty(n_ids, np.int64)
+    found = np.empty(n_ids, np.uint32)
 
     def refill() -> None:
         ready = np.flatnonzero(span < LEAST)

@@ -16,6 +16,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ from gaugewatch.llm.token_counts import PRE_TOKEN, byte_letters
 FILE_BYTES = 24 * 2**20
 #: Words, and pieces of words, whose ids a Python worker remembers for sure, and the longest of them.
 CACHE_ENTRIES, CACHE_CHARS = 300_000, 48
+#: Bytes of texts that a Python worker gets, and of ids that it gives, at once.
+BATCH_BYTES = 2 * 2**20
 #: Signs that are a piece alone after a letter.
 SIGNS = frozenset(".,;:!?)")
 
@@ -74,28 +77,37 @@ class TextIds:
         self.end = array("I", [end]).tobytes()
         self.merge = self.library.model.tokenize
         self.letters = "".join(letter for _, letter in sorted(byte_letters().items()))
+        self.blank = self.letters[ord(" ")]
         self.split = regex.compile(PRE_TOKEN).findall
         self.after_blank, self.pieces = Known(self.word), Known(self.piece)
         added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join([r"\s (?:\s|\Z)", *map(re.escape, added)])).search
+        # Patterns that begin with a fixed character are found fastest.
+        self.blanks = re.compile(r" (?<=\s )(?:\s|\Z)").search
+        self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
 
     def piece(self, piece: str) -> bytes:
         """Ids of one piece of the vocabulary's split."""
-        shown = piece.encode().decode("latin-1").translate(self.letters)
+        # Most are ASCII letters, which stand for themselves.
+        shown = piece if piece.isalpha() and piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        return self.merged(shown)
+
+    def merged(self, shown: str) -> bytes:
         return array("I", [t.id for t in self.merge(shown)]).tobytes()
 
     def word(self, word: str) -> bytes:
         """Ids of a word after a blank."""
         if word.isalpha():
-            return self.piece(" " + word)
+            return self.merged(self.blank + word) if word.isascii() else self.piece(" " + word)
         # Most others end in one sign.
         if word[:-1].isalpha() and word[-1] in SIGNS:
-            return self.pieces[" " + word[:-1]] + self.pieces[word[-1]]
-        return b"".join(map(self.pieces.__getitem__, self.split(" " + word)))
+            return self.after_blank[word[:-1]] + self.pieces[word[-1]]
+        first, *rest = self.split(" " + word)
+        begin = self.after_blank[first[1:]] if first[1:].isalpha() else self.pieces[first]
+        return begin + b"".join(map(self.pieces.__getitem__, rest))
 
     def __call__(self, text: str) -> bytes:
         """All ids of the text, then the end id."""
-        if self.special(text):
+        if self.blanks(text) or self.added(text):
             return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes() + self.end
         first, *rest = text.split(" ")
         begin = b"".join(map(self.pieces.__getitem__, self.split(first)))
@@ -175,6 +187,18 @@ class BlockWriter:
         self.docs, self.parts, self.n = [], [], 0
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Python workers get batches of about ``BATCH_BYTES``, however many rows that is."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def write_tokens(
     docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text"
 ) -> None:
@@ -213,7 +237,8 @@ def write_tokens(
             yield pa.record_batch([pa.array([block], pa.binary())], ["value"])
 
     made = ordered.mapInArrow(blocks, "value binary").select(F.col("value").cast("string").alias("value"))
-    made.write.option("lineSep", BLOCK_END).text(path)
+    with small_batches(docs.sparkSession):
+        made.write.option("lineSep", BLOCK_END).text(path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -255,15 +280,20 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 while at < len(data):
                     file, docs, ids, end = read_block(data, at)
                     at = end + len(BLOCK_END)
-                    packed = memoryview(ids.astype("<u4").tobytes())
-                    ready, since = [], 0
+                    ids = ids.astype("<u4", copy=False)
+                    ready, since, size = [], 0, 0
                     for name, n, more in docs:
-                        own = packed[4 * since : 4 * (since + n)]
+                        # Bytes: pyarrow never lets go of a memoryview that it has made a value of.
+                        own = ids[since : since + n].tobytes()
                         since += n
                         if more or begun:
-                            begun.append(bytes(own))
+                            begun.append(own)
                         if more:
                             continue
+                        if ready and size + len(own) > BATCH_BYTES:
+                            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*ready), types)], names)
+                            ready, size = [], 0
+                        size += len(own)
                         whole = b"".join(begun) if begun else own
                         begun = []
                         ready.append((file, place, name, start, len(whole) // 4, whole))

@@ -1,10 +1,14 @@
 """Token files: ids against the library, exact round trips, damaged files."""
 
+import gc
 import struct
+import tracemalloc
+import types
 import zlib
 from array import array
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -146,3 +150,49 @@ def test_special_strings_and_whole_table(spark, tmp_path):
         own = got[row["doc_id"]]
         assert (own["start"], own["n_tokens"], own["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
+
+
+def test_a_word_is_remembered_once_with_or_without_its_sign():
+    with open(PATH, encoding="utf-8") as file:
+        ids_of = token_files.TextIds(file.read(), 0)
+    text = "a first line, then.\nAnother line, then first"
+    assert list(array("I", ids_of(text))) == [*library_ids(text), 0]
+    assert not any(word[:1] == " " and word[1:].isalpha() for word in ids_of.pieces)
+
+
+def test_readers_let_go_of_the_ids_they_gave(monkeypatch):
+    """A worker that reads many files must not grow with what it has read."""
+    readers = []
+    frame = types.SimpleNamespace(mapInArrow=lambda reader, schema: readers.append(reader))
+    monkeypatch.setattr(token_files, "_files", lambda spark, path: frame)
+    token_files.read_tokens(None, "anywhere")
+    docs, n = [(i, 1000, False) for i in range(100)], 100_000
+    block = token_files.write_block(0, docs, np.arange(n, dtype=np.uint32) % 7, 7) + b"\n"
+    files = pa.record_batch([pa.array([block], pa.binary())], ["content"])
+    monkeypatch.setattr(token_files, "BATCH_BYTES", 50_000)
+
+    def read():
+        given = list(readers[0](iter([files])))
+        assert sum(b.num_rows for b in given) == 100 and max(b.nbytes for b in given) < 60_000
+        return given[0].column(5)[0].as_py()[:8]
+
+    assert read() == np.array([0, 1], "<u4").tobytes()
+    tracemalloc.start()
+    try:
+        read()
+        gc.collect()
+        before = tracemalloc.get_traced_memory()[0]
+        for _ in range(5):
+            read()
+        gc.collect()
+        assert tracemalloc.get_traced_memory()[0] - before < 4 * n
+    finally:
+        tracemalloc.stop()
+
+
+def test_workers_get_small_batches(spark):
+    rows = spark.range(0, 4000, 1, 1).selectExpr("id AS doc_id", "repeat('abc ', 1024) AS text")
+    sizes = lambda batches: (pa.record_batch([pa.array([b.nbytes], pa.int64())], ["n"]) for b in batches)
+    with token_files.small_batches(spark):
+        given = [r.n for r in rows.mapInArrow(sizes, "n long").collect()]
+    assert sum(given) > 4000 * 4096 and max(given) < 2 * token_files.BATCH_BYTES
